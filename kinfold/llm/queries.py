@@ -17,9 +17,17 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words_each=3, num=85, den=100)
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfold.llm.secrets import find_secrets
+
+    return find_secrets(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash}
+    return {"op1_minhash": op1_minhash, "op2_secrets": op2_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from kinfold.llm.secrets import secrets_sql
+
+    return {"op2_secrets": secrets_sql()}
