@@ -23,11 +23,18 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfold.llm.decontaminate import leaks
+
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op2_secrets": op2_secrets}
+    return {"op1_minhash": op1_minhash, "op2_secrets": op2_secrets, "op9_decontaminate": op9_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
+    from kinfold.llm.decontaminate import leaks_sql
     from kinfold.llm.secrets import secrets_sql
 
-    return {"op2_secrets": secrets_sql()}
+    return {"op2_secrets": secrets_sql(), "op9_decontaminate": leaks_sql()}
