@@ -29,8 +29,14 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfold.llm.pii import pseudonymise
+
+    return pseudonymise(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op2_secrets": op2_secrets, "op9_decontaminate": op9_decontaminate}
+    return {"op1_minhash": op1_minhash, "op2_secrets": op2_secrets, "op9_decontaminate": op9_decontaminate, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
