@@ -35,8 +35,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(_table(spark, sf_dir, "documents"))
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfold.llm.langid import identify_held_out
+
+    return identify_held_out(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op2_secrets": op2_secrets, "op9_decontaminate": op9_decontaminate, "op10_pii": op10_pii}
+    return {"op1_minhash": op1_minhash, "op2_secrets": op2_secrets, "op4_langid": op4_langid, "op9_decontaminate": op9_decontaminate, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
