@@ -41,6 +41,12 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_held_out(_table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfold.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinfold.llm.toxicity import toxicity
 
@@ -48,7 +54,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op2_secrets": op2_secrets, "op4_langid": op4_langid, "op7_toxicity": op7_toxicity, "op9_decontaminate": op9_decontaminate, "op10_pii": op10_pii}
+    return {"op1_minhash": op1_minhash, "op2_secrets": op2_secrets, "op4_langid": op4_langid, "op6_mixing": op6_mixing, "op7_toxicity": op7_toxicity, "op9_decontaminate": op9_decontaminate, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
