@@ -23,6 +23,12 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfold.llm.htmlmain import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinfold.llm.decontaminate import leaks
 
@@ -54,7 +60,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op2_secrets": op2_secrets, "op4_langid": op4_langid, "op6_mixing": op6_mixing, "op7_toxicity": op7_toxicity, "op9_decontaminate": op9_decontaminate, "op10_pii": op10_pii}
+    return {"op1_minhash": op1_minhash, "op2_secrets": op2_secrets, "op4_langid": op4_langid, "op6_mixing": op6_mixing, "op7_toxicity": op7_toxicity, "op8_html": op8_html, "op9_decontaminate": op9_decontaminate, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
