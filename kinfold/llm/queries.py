@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +48,12 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_held_out(_table(spark, sf_dir, "documents"))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfold.llm.annforest import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinfold.llm.mixing import mix
 
@@ -60,7 +67,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op2_secrets": op2_secrets, "op4_langid": op4_langid, "op6_mixing": op6_mixing, "op7_toxicity": op7_toxicity, "op8_html": op8_html, "op9_decontaminate": op9_decontaminate, "op10_pii": op10_pii}
+    return {"op1_minhash": op1_minhash, "op2_secrets": op2_secrets, "op4_langid": op4_langid, "op5_ann": op5_ann, "op6_mixing": op6_mixing, "op7_toxicity": op7_toxicity, "op8_html": op8_html, "op9_decontaminate": op9_decontaminate, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
