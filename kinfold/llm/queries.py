@@ -42,6 +42,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(_table(spark, sf_dir, "documents"))
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfold.llm.lblm import held_out, score
+
+    return score(_table(spark, sf_dir, "documents"), ~held_out())
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinfold.llm.langid import identify_held_out
 
@@ -67,7 +73,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op2_secrets": op2_secrets, "op4_langid": op4_langid, "op5_ann": op5_ann, "op6_mixing": op6_mixing, "op7_toxicity": op7_toxicity, "op8_html": op8_html, "op9_decontaminate": op9_decontaminate, "op10_pii": op10_pii}
+    return {"op1_minhash": op1_minhash, "op2_secrets": op2_secrets, "op3_lm": op3_lm, "op4_langid": op4_langid, "op5_ann": op5_ann, "op6_mixing": op6_mixing, "op7_toxicity": op7_toxicity, "op8_html": op8_html, "op9_decontaminate": op9_decontaminate, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:

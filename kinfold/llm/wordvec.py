@@ -1,6 +1,7 @@
 """Vectorised words of UTF-8 texts: ASCII lower-casing, ASCII white space, a 64-bit hash for each word.
 
-A word's hash depends on its bytes alone, so every process and run agrees on it.
+A word's hash depends on its bytes alone, so every process and run agrees on it. Its six highest
+bits depend on the first and last byte only.
 """
 
 from __future__ import annotations
@@ -79,7 +80,9 @@ def _hashed(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     up, down = powers(n)
     total = np.zeros(n + 1, U64)
     np.cumsum(BYTE_CODE[low] * up[:n], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(U64)), start, end, low
+    h = mix((total[end] - total[start]) * down[start] + (end - start).astype(U64))
+    kind = (low[start] * U64(5) + low[end - 1] * U64(11)) & U64(63)
+    return h >> U64(6) | kind << U64(58), start, end, low
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
