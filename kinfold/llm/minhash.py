@@ -8,7 +8,10 @@ probability of about 2 * (1 - s**rows)**halves.
 
 Exact copies collapse to one class before any pair is formed. In a bucket each member is
 compared with one pivot, drawn anew for each bucket; members of the same component need no
-comparison, and what a bucket still holds of several components is compared in full.
+comparison, and what a bucket still holds of several components is compared in full: small
+buckets by a join, larger ones in blocks of bounded size, where a pair is made only if it may
+be a link (and in its first common bucket). Before texts are read, a pair must agree in about
+as many minhashes as the threshold lets expect, less SIGMAS standard deviations.
 
 Null or wordless texts have no shingles and link with nothing. Texts of fewer words than a
 shingle are one shingle. Rows that repeat a doc_id each take the component of their own text.
@@ -22,16 +25,21 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm.graph import components
 from kinfold.llm.scratch import Scratch
 from kinfold.llm.wordvec import U64, chunks, mix, shingles, utf8, words
 
-#: Rounds of pivots before buckets are compared in full, and the comparisons per member that end them sooner.
-PIVOT_ROUNDS, CROSS_PER_MEMBER = 4, 2
+#: Rounds of pivots; members of a bucket that is compared by a join, and of a block in a larger one.
+PIVOT_ROUNDS, SMALL, BLOCK = 2, 32, 512
+#: Minhashes of which a byte each is kept, and how many of those the blocks compare.
+SKETCH, SHORT = 192, 64
+#: How far below its expectation the count of equal minhashes of a candidate may lie.
+SIGMAS = 4.5
 
 
 def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,11 +49,12 @@ def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sign(batches: Iterator[pa.RecordBatch], size: int, halves: int, rows: int) -> Iterator[pa.RecordBatch]:
-    xor, times = _seeds(2 * halves * rows)
+    xor, times = _seeds(max(SKETCH, 2 * halves * rows))
     n = 2 * halves
     for batch in batches:
         data, offsets = utf8(batch.column(1))
         count, digest, keys = np.zeros(len(batch), np.int64), [], np.zeros((len(batch), n), np.int64)
+        sketch = np.zeros((len(batch), SKETCH), np.uint8)
         for lo, hi in chunks(offsets):
             h, at = words(data, offsets[lo : hi + 1])
             for i in range(lo, hi):
@@ -56,18 +65,20 @@ def _sign(batches: Iterator[pa.RecordBatch], size: int, halves: int, rows: int)
                     least = np.full(len(xor), 2**64 - 1, U64)
                     for k in range(0, len(s), 4096):
                         np.minimum(least, ((s[None, k : k + 4096] ^ xor) * times).min(1), out=least)
-                    key = least[::rows]
+                    sketch[i] = (least[:SKETCH] >> U64(24)).astype(np.uint8)
+                    key = least[: n * rows : rows]
                     for r in range(1, rows):
-                        key = mix(key * U64(0x9E3779B97F4A7C15) + least[r::rows])
+                        key = mix(key * U64(0x9E3779B97F4A7C15) + least[r : n * rows : rows])
                     keys[i] = key.view(np.int64)
         half = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), n).cast(pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count), pa.array(digest, pa.binary()), half], ["doc_id", "n_shingles", "digest", "half"])
+        marks = pa.array([x.tobytes() for x in sketch], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count), pa.array(digest, pa.binary()), half, marks], ["doc_id", "n_shingles", "digest", "half", "sketch"])
 
 
 def signatures(docs: DataFrame, words_each: int, halves: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, a digest of the shingle set, and the half keys of both collections."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        functools.partial(_sign, size=words_each, halves=halves, rows=rows), "doc_id long, n_shingles long, digest binary, half array<long>"
+        functools.partial(_sign, size=words_each, halves=halves, rows=rows), "doc_id long, n_shingles long, digest binary, half array<long>, sketch binary"
     )
 
 
@@ -88,41 +99,101 @@ def _confirm(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int) -
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
 
 
-def near_duplicates(docs: DataFrame, words_each: int = 5, num: int = 80, den: int = 100, halves: int = 8, rows: int = 2) -> DataFrame:
+def _tables(halves: int) -> Column:
+    """A table key for each pair of half keys from either collection, with the pair's number."""
+
+    def of(i):
+        first = F.get("half", i)
+        return F.transform(F.sequence(F.lit(0), F.lit(halves - 1)), lambda j: F.struct(F.xxhash64(i * halves + j, first, F.get("half", j + halves)).alias("key"), (i * halves + j).alias("table")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(halves - 1)), of))
+
+
+def _least_agreement(num: int, den: int, n: int) -> int:
+    s = num / den
+    return max(1, int(np.floor(n * s - SIGMAS * np.sqrt(n * s * (1 - s)))))
+
+
+def _plausible(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Of (u, v, n of u, n of v, sketches), the pairs whose sizes and sketches allow a link."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        nu, nv = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        a, b = (np.stack([np.frombuffer(x, np.uint8) for x in batch.column(k).to_pylist()]) for k in (4, 5))
+        keep = (den * np.minimum(nu, nv) >= num * np.maximum(nu, nv)) & ((a == b).sum(1) >= _least_agreement(num, den, a.shape[1]))
+        mask = pa.array(keep)
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
+
+
+def _block(rows: pd.DataFrame, num: int, den: int, halves: int) -> pd.DataFrame:
+    """Of two blocks of a bucket, the pairs of different components that may be links and have no earlier common bucket."""
+    rep, part, n, block = (rows[c].to_numpy() for c in ("rep", "component", "n", "block"))
+    sketch = np.stack([np.frombuffer(x, np.uint8) for x in rows["sketch"]])
+    half = np.stack([np.asarray(x, np.int32) for x in rows["half"]])
+    table, low, high = rows["table"].iat[0], rows["low"].iat[0], rows["high"].iat[0]
+    left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    least, us, vs = _least_agreement(num, den, sketch.shape[1]), [], []
+    for i in left:
+        ok = right[(part[right] != part[i]) & (den * np.minimum(n[right], n[i]) >= num * np.maximum(n[right], n[i]))]
+        ok = ok[ok > i] if low == high else ok
+        ok = ok[(sketch[ok] == sketch[i]).sum(1) >= least]
+        if len(ok):
+            same = half[ok] == half[i]
+            ok = ok[same[:, :halves].argmax(1) * halves + same[:, halves:].argmax(1) == table]
+            us.append(np.maximum(rep[ok], rep[i]))
+            vs.append(np.minimum(rep[ok], rep[i]))
+    empty = [np.zeros(0, np.int64)]
+    return pd.DataFrame({"u": np.concatenate(us or empty), "v": np.concatenate(vs or empty)})
+
+
+def _cross_pairs(members: DataFrame, sizes: DataFrame, classes: DataFrame, num: int, den: int, halves: int) -> DataFrame:
+    """All pairs of different components that share a bucket and may be links."""
+    sized = members.join(sizes, "key")
+    small = sized.where(F.col("size") <= SMALL).select("key", "rep", "component")
+    other = small.toDF("key", "rep2", "component2")
+    near = small.join(other, "key").where("component < component2").select(F.greatest("rep", "rep2").alias("u"), F.least("rep", "rep2").alias("v"))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    large = sized.where(F.col("size") > SMALL).withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    large = large.select("key", "table", "rep", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    mark = F.transform("half", lambda x: F.pmod(F.shiftright(x, 3), F.lit(1 << 31)).cast("int")).alias("half")
+    large = large.join(classes.select("rep", "n", mark, F.substring("sketch", 1, SHORT).alias("sketch")), "rep")
+    far = large.groupBy("key", "low", "high").applyInPandas(functools.partial(_block, num=num, den=den, halves=halves), "u long, v long")
+    return near.union(far)
+
+
+def near_duplicates(docs: DataFrame, words_each: int = 5, num: int = 80, den: int = 100, halves: int = 10, rows: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: documents whose shingle sets have den * intersection >= num * union are linked."""
     scratch = Scratch(docs.sparkSession, "minhash")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = scratch.save(signatures(text, words_each, halves, rows))
-    classes = scratch.save(sig.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("half").alias("half"), F.first("n_shingles").alias("n")))
-    tables = [F.xxhash64(F.lit(i * halves + j), F.col("half")[i], F.col("half")[halves + j]) for i in range(halves) for j in range(halves)]
-    keys = classes.select("rep", F.explode(F.array(*tables)).alias("key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = scratch.save(keys.join(shared, "key").distinct())
+    first = [F.first(c).alias(c) for c in ("half", "sketch")]
+    classes = scratch.save(sig.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), *first))
+    keys = classes.select("rep", F.inline(_tables(halves)))
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = scratch.save(keys.join(shared.select("key"), "key"))
+    del keys, shared
+    scratch.release()
     links: DataFrame | None = None
     labels = None
-    open_members = members.select("key", "rep", F.col("rep").alias("component"))
+    open_members, sizes = members.withColumn("component", F.col("rep")), None
     for turn in range(PIVOT_ROUNDS + 1):
         if turn:
-            labelled = members.join(labels, members.rep == labels.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-            groups = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-            spread = groups.groupBy("key").agg(F.sum("n").alias("n"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("cross"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-            spread = scratch.save(spread)
-            n, cross = spread.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("cross"), F.lit(0))).first()
-            if not n:
-                break
-            open_members = labelled.join(spread.select("key"), "key")
-        if turn and (turn == PIVOT_ROUNDS or cross <= CROSS_PER_MEMBER * n):
-            other = open_members.toDF("key", "rep2", "component2")
-            pairs = open_members.join(other, "key").where("component < component2").select("rep", "rep2")
-            turn = PIVOT_ROUNDS
+            labelled = members.join(labels, members.rep == labels.node, "left").select("key", "table", "rep", F.coalesce("component", "rep").alias("component"))
+            sizes = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key", "size")
+            open_members = scratch.save(labelled.join(sizes.select("key"), "key"))
+            sizes = open_members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+        if turn == PIVOT_ROUNDS:
+            pairs = _cross_pairs(open_members, sizes, classes, num, den, halves).distinct()
         else:
             drawn = F.min_by(F.struct("rep", "component"), F.xxhash64("rep", "key", F.lit(turn))).alias("pivot")
             pivots = open_members.groupBy("key").agg(drawn).select("key", F.col("pivot.rep").alias("rep2"), F.col("pivot.component").alias("component2"))
             pairs = open_members.join(pivots, "key").where("component <> component2").select("rep", "rep2")
-        pairs = pairs.select(F.greatest("rep", "rep2").alias("u"), F.least("rep", "rep2").alias("v")).where("u <> v").distinct()
-        side = classes.groupBy("rep").agg(F.first("half").alias("half"), F.min("n").alias("least"), F.max("n").alias("most"))
-        fit = pairs.join(side.toDF("u", "hu", "lu", "mu"), "u").join(side.toDF("v", "hv", "lv", "mv"), "v")
-        fit = scratch.save(fit.where(den * F.least("mu", "mv") >= num * F.greatest("lu", "lv")).select("u", "v"))
+            pairs = pairs.select(F.greatest("rep", "rep2").alias("u"), F.least("rep", "rep2").alias("v")).distinct()
+        side = classes.select("rep", "n", "sketch")
+        fit = pairs.join(side.toDF("u", "nu", "su"), "u").join(side.toDF("v", "nv", "sv"), "v").select("u", "v", "nu", "nv", "su", "sv")
+        fit = scratch.save(fit.mapInArrow(functools.partial(_plausible, num=num, den=den), "u long, v long").distinct())
         texts = text.join(fit.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "doc_id", "left_semi")
         texts = scratch.save(texts.distinct())
         full = fit.join(texts.toDF("u", "tu"), "u").join(texts.toDF("v", "tv"), "v").select("u", "v", "tu", "tv")
@@ -130,8 +201,8 @@ def near_duplicates(docs: DataFrame, words_each: int = 5, num: int = 80, den: in
         links = scratch.save(found if links is None else links.union(found))
         scratch.drop(texts)
         labels = scratch.save(components(links, scratch))
-        if turn == PIVOT_ROUNDS:
-            break
+        del pairs, side, fit, texts, full, found, open_members
+        scratch.release()
     rep = classes.select("digest", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = sig.join(rep, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
