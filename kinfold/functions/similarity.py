@@ -93,7 +93,7 @@ def jaro_winkler(a: str, b: str) -> float:
     if not mine:
         return 0.0
     other = [c for c, t in zip(b, taken, strict=True) if t]
-    swaps = sum(x != y for x, y in zip(mine, other, strict=True)) / 2
+    swaps = sum(x != y for x, y in zip(mine, other, strict=True)) // 2
     m = len(mine)
     jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
     prefix = 0

@@ -36,7 +36,7 @@ def token_differences(pairs: DataFrame, idf: DataFrame, a: str = "core_a", b: st
     """td_extra_n, td_miss_n and their least idf: tokens of a side that equal none of the other and resemble none. Distinct token pairs are scored once."""
     t1, t2 = words(F.col(a)), words(F.col(b))
     sides = pairs.select("s1", "rec", t1.alias("x"), t2.alias("y")).where("size(x) > 0 and size(y) > 0")
-    gone = sides.select("s1", "rec", F.explode(F.array(F.struct(F.lit("extra").alias("side"), F.filter("y", lambda t: ~F.array_contains("x", t)).alias("mine"), F.col("x").alias("other")), F.struct(F.lit("miss"), F.filter("x", lambda t: ~F.array_contains("y", t)), F.col("y")))).alias("e"))
+    gone = sides.select("s1", "rec", F.explode(F.array(F.struct(F.lit("extra").alias("side"), F.filter("y", lambda t: ~F.array_contains("x", t)).alias("mine"), F.col("x").alias("other")), F.struct(F.lit("miss").alias("side"), F.filter("x", lambda t: ~F.array_contains("y", t)).alias("mine"), F.col("y").alias("other")))).alias("e"))
     gone = gone.select("s1", "rec", "e.side", F.posexplode("e.mine").alias("at", "token"), F.col("e.other").alias("other"))
     scored = gone.select("token", F.explode("other").alias("o")).distinct().withColumn("r", kernel("ratio")("token", "o")).where(F.col("r") >= least).select("token", "o")
     near = gone.select("s1", "rec", "side", "at", "token", F.explode("other").alias("o")).join(scored, ["token", "o"], "left_semi").select("s1", "rec", "side", "at").distinct()

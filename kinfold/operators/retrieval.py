@@ -54,7 +54,7 @@ def nearest(queries: DataFrame, keys: DataFrame, k: int, sizes: dict | None = No
         return _top(a, b, k) if len(a) and len(b) else pd.DataFrame({"q": a["id"][:0], "id": b["id"][:0], "cos": pd.Series([], dtype=float)})
 
     by = ["country", "qb", "kb"]
-    found = left.select(*by, "id", "v").groupBy(*by).cogroup(right.select(*by, "id", "v").groupBy(*by)).applyInPandas(search, f"q {kind}, id {kind}, cos double")
+    found = left.select(*by, "id", "v").groupBy(*by).cogroup(right.select(*by, "id", "v").toDF(*by, "id", "v").groupBy(*by)).applyInPandas(search, f"q {kind}, id {kind}, cos double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cos"), "id")) - 1
     return found.withColumn("rank", rank).where(F.col("rank") < k)
 

@@ -127,11 +127,12 @@ on_fixture("key_cap", "SELECT country, name, entity_id FROM (SELECT *, count(*)
 FOLDED = "trim(regexp_replace(lower(strip_accents({c})), '\\s+', ' ', 'g')) AS x"
 NORM_NAME = N.layered_sql(f"(SELECT *, {FOLDED.format(c='name')} FROM records)", N.name_steps(DUCK), "entity_id", N.NAME_FIELDS)
 NORM_ADDR = N.layered_sql(f"(SELECT *, {FOLDED.format(c='addr')} FROM records)", N.addr_steps(DUCK), "entity_id", ["addr_n", "nums", "phone"])
-NORM = f"{DUCK_CTES}, nn AS ({NORM_NAME}), na AS ({NORM_ADDR}), norm AS (SELECT r.*, nn.* EXCLUDE (entity_id), na.* EXCLUDE (entity_id) FROM records r JOIN nn USING (entity_id) JOIN na USING (entity_id))"
+NORM = f"{DUCK_CTES}, nn AS MATERIALIZED ({NORM_NAME}), na AS MATERIALIZED ({NORM_ADDR}), norm AS MATERIALIZED (SELECT r.*, nn.* EXCLUDE (entity_id), na.* EXCLUDE (entity_id) FROM records r JOIN nn USING (entity_id) JOIN na USING (entity_id))"
 
 
 def norm(x: Fixture) -> DataFrame:
-    return N.normalize(x.records)
+    """Reused by the joins of nearly every feature, so it is kept."""
+    return N.normalize(x.records).persist()
 
 
 on_fixture("norm_name_fields", NORM_NAME)(lambda x: N.normalize_names(x.records).select("entity_id", *N.NAME_FIELDS))
@@ -185,7 +186,7 @@ similarity_query("sim_tsort", "token_sort_ratio", with_ratio(f"SELECT {SORTED.fo
 TS = "ts AS (SELECT s1, rec, list_sort(list_distinct(list_filter(string_split(a, ' '), lambda t: t <> ''))) x, list_sort(list_distinct(list_filter(string_split(b, ' '), lambda t: t <> ''))) y FROM np), tp AS (SELECT s1, rec, x, y, array_to_string(list_filter(x, lambda t: list_contains(y, t)), ' ') i, array_to_string(list_filter(x, lambda t: NOT list_contains(y, t)), ' ') l, array_to_string(list_filter(y, lambda t: NOT list_contains(x, t)), ' ') r FROM ts), tq AS (SELECT *, trim(i || ' ' || l) il, trim(i || ' ' || r) ir FROM tp)"
 ORACLES_TSET = f"WITH RECURSIVE {SIDES}, {TS}, sp AS (SELECT il AS a, ir AS b FROM tq UNION SELECT i, il FROM tq UNION SELECT i, ir FROM tq), {LCS_CTES} SELECT s1, rec, round(CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0 WHEN i <> '' AND (l = '' OR tq.r = '') THEN 100 WHEN i = '' THEN r1.r ELSE greatest(r1.r, r2.r, r3.r) END, 4)::DOUBLE AS sim FROM tq JOIN rt r1 ON r1.a = il AND r1.b = ir JOIN rt r2 ON r2.a = i AND r2.b = il JOIN rt r3 ON r3.a = i AND r3.b = ir"
 similarity_query("sim_tset", "token_set_ratio", ORACLES_TSET)
-similarity_query("sim_jw", "jaro_winkler", f"WITH {SIDES} SELECT s1, rec, round(CASE WHEN a = b THEN 1.0 ELSE jaro_winkler_similarity(a, b) END, 4)::DOUBLE AS sim FROM np")
+similarity_query("sim_jw", "jaro_winkler", f"WITH {SIDES} SELECT s1, rec, round(CASE WHEN a = b THEN 1.0 WHEN jaro_similarity(a, b) > 0.7 THEN jaro_winkler_similarity(a, b) ELSE jaro_similarity(a, b) END, 4)::DOUBLE AS sim FROM np")
 similarity_query("sim_partial", "partial_ratio", None)
 similarity_query("sim_pset", "partial_token_set_ratio", None)
 
@@ -208,7 +209,7 @@ mc AS (SELECT country, kind, variant, canonical, count(*) n FROM ev WHERE varian
 
 def mined(x: Fixture) -> DataFrame:
     n = norm(x)
-    side = lambda key, s: n.select(F.col("entity_id").alias(key), F.split("name_n", " ").alias("t" + s), F.transform(F.split("addr_n", ","), F.trim).alias("c" + s), F.col("country") if s == "1" else F.array(F.col("name_native")).alias("native2"))
+    side = lambda key, s: n.select(F.col("entity_id").alias(key), F.split("name_n", " ").alias("t" + s), F.transform(F.split("addr_n", ","), lambda t: F.trim(t)).alias("c" + s), F.col("country") if s == "1" else F.array(F.col("name_native")).alias("native2"))
     pairs = x.truth.join(side("s1", "1"), "s1").join(side("rec", "2"), "rec")
     return MI.counts(MI.evidence(pairs.withColumn("native2", F.transform("t2", lambda t: F.lit(False)))))
 
@@ -235,7 +236,7 @@ on_fixture("pseudo_pairs", f"(SELECT s1, rec, 1 y FROM {COMPETITOR} WHERE countr
 
 def _components(x: Fixture) -> DataFrame:
     n = norm(x)
-    side = lambda key, s: n.select(F.col("entity_id").alias(key), F.array_distinct(F.transform(F.split("addr_n", ","), F.trim)).alias("c" + s), *([F.col("country")] if s == "1" else []))
+    side = lambda key, s: n.select(F.col("entity_id").alias(key), F.array_distinct(F.transform(F.split("addr_n", ","), lambda t: F.trim(t))).alias("c" + s), *([F.col("country")] if s == "1" else []))
     return MI.optional_components(x.truth.join(side("s1", "1"), "s1").join(side("rec", "2"), "rec"), least=20, share=0.2)
 
 
