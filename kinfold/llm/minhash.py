@@ -6,8 +6,8 @@ halves**2 tables, about the square root of what separate tables would take. Cand
 checked on the full shingle sets, so no link is wrong; a pair at the threshold s is missed with
 probability of about 2 * (1 - s**rows)**halves.
 
-Exact copies collapse to one class before any pair is formed. In a bucket each member is
-compared with one pivot, drawn anew for each bucket; members of the same component need no
+Exact copies collapse to one class before any pair is formed. Each member is first compared with
+the least other member of its buckets, then in every bucket with a pivot drawn anew for it; members of the same component need no
 comparison, and what a bucket still holds of several components is compared in full: small
 buckets by a join, larger ones in blocks of bounded size, where a pair is made only if it may
 be a link (and in its first common bucket). Before texts are read, a pair must agree in about
@@ -35,7 +35,7 @@ from kinfold.llm.scratch import Scratch
 from kinfold.llm.wordvec import U64, chunks, mix, shingles, utf8, words
 
 #: Rounds of pivots; members of a bucket that is compared by a join, and of a block in a larger one.
-PIVOT_ROUNDS, SMALL, BLOCK = 2, 32, 512
+PIVOT_ROUNDS, SMALL, BLOCK = 3, 32, 512
 #: Minhashes of which a byte each is kept, and how many of those the blocks compare.
 SKETCH, SHORT = 192, 64
 #: How far below its expectation the count of equal minhashes of a candidate may lie.
@@ -187,9 +187,11 @@ def near_duplicates(docs: DataFrame, words_each: int = 5, num: int = 80, den: in
         if turn == PIVOT_ROUNDS:
             pairs = _cross_pairs(open_members, sizes, classes, num, den, halves).distinct()
         else:
-            drawn = F.min_by(F.struct("rep", "component"), F.xxhash64("rep", "key", F.lit(turn))).alias("pivot")
-            pivots = open_members.groupBy("key").agg(drawn).select("key", F.col("pivot.rep").alias("rep2"), F.col("pivot.component").alias("component2"))
+            by = F.xxhash64("rep", "key", F.lit(turn)) if turn else F.col("rep")
+            pivots = open_members.groupBy("key").agg(F.min_by(F.struct("rep", "component"), by).alias("pivot")).select("key", F.col("pivot.rep").alias("rep2"), F.col("pivot.component").alias("component2"))
             pairs = open_members.join(pivots, "key").where("component <> component2").select("rep", "rep2")
+            if not turn:  # at first a single comparison for each member settles most groups
+                pairs = pairs.groupBy("rep").agg(F.min("rep2").alias("rep2"))
             pairs = pairs.select(F.greatest("rep", "rep2").alias("u"), F.least("rep", "rep2").alias("v")).distinct()
         side = classes.select("rep", "n", "sketch")
         fit = pairs.join(side.toDF("u", "nu", "su"), "u").join(side.toDF("v", "nv", "sv"), "v").select("u", "v", "nu", "nv", "su", "sv")
