@@ -4,12 +4,11 @@ For each language a tree of byte contexts of up to ORDER symbols counts what fol
 probability of the next byte is its share in the longest context seen; a byte not seen there
 costs an escape (as many as the context has followers, out of its count and them) and goes on
 in the next shorter context, down to a uniform one. Statistics are frozen after learning, so a
-code length is a sum over positions and is exact: it is looked up in a table that holds the
-code length of every symbol after every context. The language with the shortest code wins.
+code length is a sum over positions and is exact: it is looked up in sorted tables, one for each
+language and order, of the contexts and symbols seen. The language with the shortest code wins.
 
-Symbols are lower-cased bytes; bytes beyond the most frequent SYMBOLS - 1 of the learning texts
-share one symbol and are told apart uniformly. Learning covers all its rows; the counts are
-summed over the cluster, and there are at most languages * SYMBOLS**(ORDER + 1) of them.
+Symbols are the 256 byte values, lower-cased. Learning covers all its rows; the counts are
+summed over the cluster, and there is one for each run of ORDER + 1 bytes seen in a language.
 
 Null texts and those without a letter are `und` with score 0, as is everything if nothing was
 learned. The score is the winner's posterior under equal priors. Ties go to the lesser name.
@@ -29,8 +28,8 @@ from pyspark.sql import functions as F
 
 from kinfold.llm.wordvec import LOWER, chunks, utf8
 
-SYMBOLS, ORDER = 44, 3
-SIZE = SYMBOLS ** (ORDER + 1)
+SYMBOLS, ORDER = 256, 3
+ALPHABET = np.arange(SYMBOLS, dtype=np.uint8)
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -41,18 +40,10 @@ def _pieces(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, n
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
 
 
-def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(256, np.int64)
-    for batch in batches:
-        for _, _, data, _ in _pieces(batch.column(0)):
-            total += np.bincount(LOWER[data], minlength=256)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(256, dtype=np.int32)), pa.array(total)], ["byte", "n"])
-
-
 def _codes(data: np.ndarray, starts: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     """Each position's context and symbol as one number; a row begins after spaces."""
-    s = symbol[LOWER[data]].astype(np.int32)
-    blank = np.int32(symbol[32])
+    s = symbol[LOWER[data]].astype(np.uint32)
+    blank = np.uint32(symbol[32])
     code = s.copy()
     for k in range(1, ORDER + 1):
         back = np.empty_like(s)
@@ -60,12 +51,21 @@ def _codes(data: np.ndarray, starts: np.ndarray, symbol: np.ndarray) -> np.ndarr
         for j in range(k):
             at = starts + j
             back[at[at < len(s)]] = blank
-        code += back * np.int32(SYMBOLS**k)
+        code += back * np.uint32(SYMBOLS**k)
     return code
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct codes and the sums of their counts."""
+    code, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    code, of = np.unique(code, return_inverse=True)
+    total = np.zeros(len(code), np.int64)
+    np.add.at(total, of, n)
+    return code, total
+
+
 def _count(batches: Iterator[pa.RecordBatch], symbol: np.ndarray) -> Iterator[pa.RecordBatch]:
-    total: dict[str, np.ndarray] = {}
+    found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
     for batch in batches:
         langs = np.array(batch.column(1).to_pylist(), dtype=object)
         for lo, hi, data, at in _pieces(batch.column(0), 1 << 22):
@@ -75,69 +75,95 @@ def _count(batches: Iterator[pa.RecordBatch], symbol: np.ndarray) -> Iterator[pa
             code = _codes(data, starts, symbol)
             of = np.repeat(np.arange(hi - lo), np.diff(at))
             for lang in set(langs[lo:hi]):
-                rows = langs[lo:hi] == lang
-                if lang not in total:
-                    total[lang] = np.zeros(SIZE, np.int32)
-                total[lang] += np.bincount(code[rows[of]], minlength=SIZE).astype(np.int32)
-    for lang, n in total.items():
-        seen = np.flatnonzero(n)
-        for k in range(0, len(seen), 100_000):
-            part = seen[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part.astype(np.int32)), pa.array(n[part].astype(np.int64))], ["lang", "code", "n"])
-
-
-def code_lengths(counts: np.ndarray, rare: int) -> np.ndarray:
-    """Bits for every symbol after every context; rare: how many bytes share the last symbol."""
-    base = np.full(SYMBOLS, 1.0 / (SYMBOLS - 1 + max(1, rare)))
-    p = base
-    full = counts.reshape((SYMBOLS,) * (ORDER + 1))
-    for order in range(ORDER + 1):
-        n = full.sum(axis=tuple(range(ORDER - order))).astype(np.float64)
-        total, kinds = n.sum(-1, keepdims=True), (n > 0).sum(-1, keepdims=True)
-        lower = np.broadcast_to(p, n.shape)
-        rest = np.maximum(total + kinds, 1)
-        p = np.where(total == 0, lower, np.where(n > 0, n / rest, kinds / rest * lower))
-    return (-np.log2(p)).astype(np.float32).reshape(-1)
+                parts = found.setdefault(lang, [])
+                parts.append(np.unique(code[(langs[lo:hi] == lang)[of]], return_counts=True))
+                # merged when the later parts outgrow the first, so that each code moves few times
+                if sum(len(c) for c, _ in parts[1:]) > max(1 << 20, len(parts[0][0])):
+                    found[lang] = [_summed(parts)]
+    for lang, parts in found.items():
+        code, n = _summed(parts)
+        for k in range(0, len(code), 100_000):
+            part = slice(k, k + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code[part]), pa.string()), pa.array(code[part].astype(np.int64)), pa.array(n[part])], ["lang", "code", "n"])
+
+
+def _find(keys: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key stands in the sorted, non-empty keys, and whether it does."""
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    return at, keys[at] == key
+
+
+class Tree:
+    """One language: for each order the bits of what was seen, and of an escape from each context."""
+
+    def __init__(self, code: np.ndarray, n: np.ndarray):
+        self.seen, self.escape = [], []
+        for order in range(ORDER + 1):
+            keys, n_key = _summed([(code.astype(np.int64) % SYMBOLS ** (order + 1), n)])
+            contexts, of, kinds = np.unique(keys // SYMBOLS, return_inverse=True, return_counts=True)
+            total = np.bincount(of, weights=n_key)
+            self.seen.append((keys, -np.log2(n_key / (total + kinds)[of])))
+            self.escape.append((contexts, -np.log2(kinds / (total + kinds))))
+
+    def bits(self, codes: np.ndarray) -> np.ndarray:
+        codes, out, left = codes.astype(np.int64), np.zeros(len(codes)), np.arange(len(codes))
+        for order in reversed(range(ORDER + 1)):
+            keys, bits = self.seen[order]
+            key = codes[left] % SYMBOLS ** (order + 1)
+            at, found = _find(keys, key)
+            out[left[found]] += bits[at[found]]
+            left, key = left[~found], key[~found]
+            contexts, bits = self.escape[order]
+            at, found = _find(contexts, key // SYMBOLS)
+            out[left[found]] += bits[at[found]]
+        out[left] += np.log2(SYMBOLS)
+        return out
+
+
+class Table:
+    """Code lengths by (codes, language)."""
+
+    def __init__(self, trees: list[Tree]):
+        self.trees = trees
+
+    def __getitem__(self, key: tuple[np.ndarray, int]) -> np.ndarray:
+        codes, lang = key
+        return self.trees[lang].bits(codes)
+
+    def lengths(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Bits of each row in each language; a code that recurs is looked up once."""
+        some, of = np.unique(codes, return_inverse=True)
+        return np.stack([np.add.reduceat(tree.bits(some)[of], starts) for tree in self.trees], axis=1)
 
 
 class Model:
     def __init__(self, langs: list[str], symbol: np.ndarray, codes: list[np.ndarray], counts: list[np.ndarray]):
-        self.langs, self.symbol, self.codes, self.counts, self.bits = langs, symbol, codes, counts, None
+        self.langs, self.symbol, self.codes, self.counts, self.trees = langs, symbol, codes, counts, None
 
     def __getstate__(self):
-        return self.__dict__ | {"bits": None}
+        return self.__dict__ | {"trees": None}
 
-    def table(self) -> np.ndarray:
+    def table(self) -> Table:
         """Built once in each process from the counts of what was seen."""
-        if self.bits is None:
-            rare = int((self.symbol == SYMBOLS - 1).sum())
-            self.bits = np.empty((SIZE, len(self.langs)), np.float32)
-            for k, (code, n) in enumerate(zip(self.codes, self.counts, strict=True)):
-                dense = np.zeros(SIZE, np.int64)
-                dense[code] = n
-                self.bits[:, k] = code_lengths(dense, rare)
-        return self.bits
+        if self.trees is None:
+            self.trees = Table([Tree(code, n) for code, n in zip(self.codes, self.counts, strict=True)])
+        return self.trees
 
 
 def learn(docs: DataFrame, condition: Column) -> Model:
     """Trees from text and non-null lang of the rows that meet the condition."""
     rows = docs.where(condition & F.col("lang").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null")
-    found = rows.select("text").mapInArrow(_bytes, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()
-    by = sorted(((-r.n, r.byte) for r in found if r.n), key=lambda x: (x[1] != 32, x))
-    symbol = np.full(256, SYMBOLS - 1, np.uint8)
-    for k, (_, byte) in enumerate(by[: SYMBOLS - 1]):
-        symbol[byte] = k
 
     def count(batches):
-        return _count(batches, symbol)
+        return _count(batches, ALPHABET)
 
-    total = rows.mapInArrow(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    total = rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     langs, codes, counts = [], [], []
     for lang, part in total.groupby("lang"):
         langs.append(lang)
-        codes.append(part["code"].to_numpy(np.int32))
+        codes.append(part["code"].to_numpy(np.uint32))
         counts.append(part["n"].to_numpy(np.int64))
-    return Model(langs, symbol, codes, counts)
+    return Model(langs, ALPHABET, codes, counts)
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -149,7 +175,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Rec
                 continue
             filled = np.flatnonzero(at[:-1] < at[1:])
             starts = at[:-1][filled]
-            bits = np.add.reduceat(model.table()[_codes(data, starts, model.symbol)], starts, axis=0, dtype=np.float64)
+            bits = model.table().lengths(_codes(data, starts, model.symbol), starts)
             best = bits.argmin(1)
             odds = np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1)
             for k, row in enumerate(filled):

@@ -71,3 +71,17 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify_held_out(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r.lang_pred == r.lang for r in got) / len(got) > 0.97
+
+
+def test_scripts_beside_a_latin_majority(spark):
+    """Every byte keeps its symbol, however many others are more frequent."""
+    latin = ("hello there my friend " + "".join(chr(c) for c in range(32, 127))) * 40
+    train = [(latin, "en"), ("привет мир как твои дела сегодня", "ru"), ("привіт світ як твої справи сьогодні", "uk"), ("γεια σου κόσμε τι κάνεις σήμερα", "el")]
+    docs = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(train)], "doc_id long, text string, lang string")
+    model = langid.learn(docs, langid.F.lit(True))
+    texts = ["как дела", "як справи", "τι κάνεις", "hello"]
+    got = langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {0: "ru", 1: "uk", 2: "el", 3: "en"}
+    data = np.arange(256, dtype=np.uint8)
+    codes = langid._codes(np.delete(data, range(65, 91)), np.array([0]), model.symbol)
+    assert len(set((codes % langid.SYMBOLS).tolist())) == 230
