@@ -154,7 +154,7 @@ on_fixture("native_flags", "SELECT entity_id, regexp_matches(name, '[\\x{250}-\\
 def name_pairs(x: Fixture) -> DataFrame:
     n = norm(x).select("entity_id", "name_n", "core", "addr_n")
     side = lambda key, s: n.select(F.col("entity_id").alias(key), *[F.col(c).alias(c + s) for c in ("name_n", "core", "addr_n")])
-    return x.pairs.where("rec like 'S2%'").select("s1", "rec").join(side("s1", "_a"), "s1").join(side("rec", "_b"), "rec")
+    return x.pairs.select("s1", "rec").join(side("s1", "_a"), "s1").join(side("rec", "_b"), "rec")
 
 
 SIDES = f"{NORM}, np AS (SELECT p.s1, p.rec, a.name_n AS a, b.name_n AS b, a.core ca, b.core cb, a.addr_n aa, b.addr_n ab FROM pairs p JOIN norm a ON a.entity_id = p.s1 JOIN norm b ON b.entity_id = p.rec WHERE p.rec LIKE 'S2%')"
@@ -269,7 +269,7 @@ SELECT s1, rec, round(i / nullif(su, 0), 6) c_idf_jac, round(i / nullif(sa, 0),
 
 def _tok_diff(x: Fixture) -> DataFrame:
     n = norm(x)
-    return rounded(FE.token_differences(FE.with_sides(x.pairs.where("rec like 'S2%'").select("s1", "rec"), n), FE.idf_table(n, "core")))
+    return rounded(FE.token_differences(FE.with_sides(x.pairs.select("s1", "rec"), n), FE.idf_table(n, "core")))
 
 
 on_fixture("tok_diff")(_tok_diff)
@@ -281,8 +281,8 @@ CASE WHEN NOT has THEN NULL WHEN x = y THEN 0.0 ELSE round(ln(1 + abs(CAST(x[1:1
 CASE WHEN has THEN CAST(ends_with(x, y) OR ends_with(y, x) OR starts_with(x, y) OR starts_with(y, x) AS INT) END td_num_affix, CASE WHEN has THEN len(list_filter(b, lambda t: len(list_filter(a, lambda z: ends_with(z, t) OR ends_with(t, z))) = 0))::INT END td_num_unexpl FROM f"""
 on_fixture("legal_phone_feats")(lambda x: FE.legal_features(_sides(x)).select("s1", "rec", "legal_eq", "legal_both_empty", "legal_b_empty", "phone_eq"))
 ORACLES["legal_phone_feats"] = f"WITH {NORM}{FULL_SIDES} SELECT s1, rec, CAST(la = lb AS INT) legal_eq, CAST(la = '' AND lb = '' AS INT) legal_both_empty, CAST(lb = '' AS INT) legal_b_empty, CASE WHEN pa <> '' AND pb <> '' THEN CAST(pa = pb AS INT) END phone_eq FROM pp"
-on_fixture("pair_features")(lambda x: rounded(FE.pair_features(x.pairs.where("rec like 'S2%'").select("s1", "rec"), norm(x)), 4))
-on_fixture("cheap_features")(lambda x: rounded(FE.cheap_features(x.pairs.where("rec like 'S2%'").select("s1", "rec"), norm(x)), 4))
+on_fixture("pair_features")(lambda x: rounded(FE.pair_features(x.pairs.select("s1", "rec"), norm(x)), 4))
+on_fixture("cheap_features")(lambda x: rounded(FE.cheap_features(x.pairs.select("s1", "rec"), norm(x)), 4))
 
 # ---- retrieval on vectors: label is the country, every third vector an S1
 
