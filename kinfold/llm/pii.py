@@ -5,7 +5,8 @@ by their octets, calendar dates, social security and telephone numbers, e-mail a
 permuted by a keyed Feistel network within the values of their own format, walking on past
 values that the format doesn't allow. The permutation depends on the value and the key alone,
 so equal values get equal pseudonyms in every document, however they are punctuated, and
-different ones stay apart. What doesn't validate is left as it is.
+different ones stay apart. Where an expression's longest match doesn't validate, its shorter
+parts up to a separator and later starts are tried; what then doesn't is left as it is.
 
 A null text stays null. Rows are kept as they come, repeated ones too, with all their columns.
 An empty table gives an empty result.
@@ -172,15 +173,46 @@ FINDERS = (
     ("phone", re.compile(r"(?<![0-9A-Za-z+])(?:(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\+(?!1[ .(-])[1-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{2,4}\)?){2,5})(?![0-9A-Za-z])"), _phone),
     ("card", re.compile(r"(?<![0-9A-Za-z.])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"), _card),
 )
+#: Kinds whose expressions may run on into what stands behind a value.
+OPEN_ENDED = {"iban", "phone", "card"}
+#: Lengths of account numbers by country, tried before others.
+IBAN_LENGTH = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28,
+    "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18,
+    "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32,
+    "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24,
+    "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28,
+    "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])")
 _ANY = re.compile(r"[0-9@]")
 
 
+def _parts(kind: str, s: str) -> list[str]:
+    """s and its beginnings up to a separator, in the order they are tried: the longest first, but an account number of its country's length before all."""
+    if kind not in OPEN_ENDED:
+        return [s]
+    parts = [s, *(s[: m.start()] for m in reversed(list(re.finditer(r"(?<=[0-9A-Za-z)])[ .-]", s))))]
+    if kind == "iban":
+        parts.sort(key=lambda x: len(x.replace(" ", "")) != IBAN_LENGTH.get(s[:2]))
+    return parts
+
+
 class Pseudonyms:
     def __init__(self, key: bytes):
         self.key = hashlib.blake2b(key, digest_size=32).digest()
         self.of = functools.lru_cache(1 << 16)(lambda change, s: change(s, self.key))
 
+    def _spans(self, text: str, rank: int, kind: str, pattern: re.Pattern, change) -> Iterator[tuple]:
+        """What validates from each start on; spans may overlap."""
+        at = 0
+        while m := pattern.search(text, at):
+            for part in _parts(kind, m[0]):
+                if new := self.of(change, part):
+                    yield m.start(), rank, m.start() + len(part), kind, new
+                    break
+            at = m.start() + 1
+
     def __call__(self, text: str) -> tuple[str, list[int]]:
         counts = [0] * len(KINDS)
         if not _ANY.search(text):
@@ -189,7 +221,7 @@ class Pseudonyms:
         if "@" in text:
             spans += [(m.start(), -1, m.end(), "email", new) for m in EMAIL.finditer(text) if (new := self.of(_email, m[0]))]
         for rank, (kind, pattern, change) in enumerate(FINDERS):
-            spans += [(m.start(), rank, m.end(), kind, new) for m in pattern.finditer(text) if (new := self.of(change, m[0]))]
+            spans += self._spans(text, rank, kind, pattern, change)
         out, at = [], 0
         for start, _, end, kind, new in sorted(spans):
             if start >= at:

@@ -44,3 +44,19 @@ def test_tables(spark):
     assert got[1].text is None and got[2].text == "" and got[3].n_email == 1 and got[4].n_email == 20000
     assert got[4].text.startswith(got[3].text) and pseudonymise(docs).count() == 5
     assert pseudonymise(docs.limit(0)).count() == 0
+
+
+def test_values_beside_other_characters():
+    """A longest match that fails leaves its valid part to be found."""
+    change = Pseudonyms(b"k")
+    card, iban = "4111 1111 1111 1111", "ES9121000418450200051332"
+    cases = [(card, f"{card} 12/26"), (card, f"{card} 123"), (card.replace(" ", ""), f"{card.replace(' ', '')} 123"), (card, f"order 7 {card}"), (card, f"call 555-123-4567 {card} 123"), (iban, f"{iban} EUR 30"), (iban, f"AB12 {iban} EUR 30")]
+    cases.append(("ES91 2100 0418 4502 0005 1332", "ES91 2100 0418 4502 0005 1332 THIS COST"))
+    cases.append(("+44 20 7946 0958", "+44 20 7946 0958 1230 1530"))
+    for value, text in cases:
+        new, counts = change(text)
+        alone, _ = change(value)
+        assert alone != value and value not in new
+        assert sum(counts) == 1 + ("call" in text), (text, new)
+    for value, text in cases[:4] + cases[5:8]:
+        assert change(text)[0] == text.replace(value, change(value)[0]), text
