@@ -9,7 +9,7 @@ Scripts, styles, comments and the head are never text. Containers that by name,
 are navigation, page header or footer, sidebar, notice, advert, form or reader comments are
 left out of the region's text, and score negative within it. White space in a block becomes one
 space; blocks are joined by two line feeds. Character references are decoded once. What a page
-leaves unclosed ends with it. A null or empty page, or one without text, gives an empty string.
+leaves unclosed ends with it; paragraphs, items, cells and options end where HTML implies it. A null or empty page, or one without text, gives an empty string.
 Rows are kept as they come, repeated ones too. An empty table gives an empty result.
 """
 
@@ -19,6 +19,7 @@ import functools
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,9 +29,20 @@ from pyspark.sql import functions as F
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 # Elements by what they are in HTML.
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes", "svg", "math", "object", "canvas", "audio", "video"}
+RAW = {"script", "style", "textarea", "title", "template", "iframe", "xmp", "noembed", "noframes", "canvas", "audio", "video"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+SPECIAL = BLOCK - {"address", "div", "p"} | {"button", "object", "select", "option", "optgroup"}
+ROWS = {"tr", "td", "th"}
+#: For a start tag: the elements that it closes, and those that shield what is open around them.
+CLOSES = {
+    "li": ({"li"}, SPECIAL), "dt": ({"dt", "dd"}, SPECIAL), "dd": ({"dt", "dd"}, SPECIAL),
+    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": (ROWS | {"caption"}, {"table"}),
+    **{x: (ROWS | {"thead", "tbody", "tfoot", "caption"}, {"table"}) for x in ("thead", "tbody", "tfoot")},
+    "option": ({"option"}, {"select", "datalist", "optgroup"}), "optgroup": ({"option", "optgroup"}, {"select"}),
+}
+#: A block closes an open paragraph, but none beyond these.
+SHIELDS_P = {"html", "body", "table", "td", "th", "caption", "button", "object"}
 FURNITURE = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "head", "label", "option"}
 FURNITURE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 FURNITURE_NAMES = re.compile(
@@ -64,10 +76,31 @@ def _furniture(name: str, attributes: str, inside: bool) -> bool:
     return bool(named and FURNITURE_NAMES.search(spaced) and not (MAIN_NAMES.search(spaced) and not re.search(r"comment|\bad|sidebar|nav|footer|menu", spaced, re.I)))
 
 
+def _implied(name: str, open_: list[tuple[str, bool]], n_open: Counter[str]) -> int:
+    """How many elements stay open before a start tag of this name; those above end with it."""
+    stay = len(open_)
+    rules = [CLOSES[name]] if name in CLOSES else []
+    if name in BLOCK and name not in ROWS | {"thead", "tbody", "tfoot", "caption"}:
+        rules.append(({"p"}, SHIELDS_P))
+    for closes, shields in rules:
+        if not any(n_open[x] for x in closes):
+            continue
+        for k in reversed(range(len(open_))):
+            x = open_[k][0]
+            if x in closes:
+                stay = min(stay, k)
+                if not closes & ROWS and name != "optgroup":
+                    break
+            elif x in shields:
+                break
+    return stay
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, bool, int]]:
     """(kind, text, furniture, article): kind is `text`, a tag's name, or /name; article numbers the outermost article or main element, 0 outside."""
     at, n = 0, len(page)
     open_: list[tuple[str, bool]] = []
+    n_open: Counter[str] = Counter()
     deep = inside = count = 0
     while at < n:
         m = TOKEN.search(page, at)
@@ -81,9 +114,10 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, int]]:
             continue
         name = m[2].lower()
         if m[1]:
-            if any(x == name for x, _ in open_):
+            if n_open[name]:
                 while open_:
                     x, bad = open_.pop()
+                    n_open[x] -= 1
                     deep -= bad
                     inside -= x in ("article", "main")
                     if x == name:
@@ -96,11 +130,15 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, int]]:
                 at = end.end() if end else n
             yield name, "", deep > 0, count if inside else 0
             continue
-        if name == "p" and open_ and open_[-1][0] == "p":
-            open_.pop()
+        for x, bad in open_[(stay := _implied(name, open_, n_open)) :]:
+            n_open[x] -= 1
+            deep -= bad
+            inside -= x in ("article", "main")
+        del open_[stay:]
         bad = _furniture(name, m[3], inside > 0)
         if name not in VOID and not m[3].endswith("/"):
             open_.append((name, bad))
+            n_open[name] += 1
             deep += bad
             count += name in ("article", "main") and not inside
             inside += name in ("article", "main")

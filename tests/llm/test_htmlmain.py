@@ -54,3 +54,19 @@ def test_all_articles_of_the_small_tables(spark):
         want = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", body)]
         got = main_text(r.html, learn())
         assert got == "\n\n".join(b for b in want if b), r.page_id
+
+
+def test_implied_ends_and_embedded_content():
+    """Furniture ends where HTML ends it; formulas and embedded content are text."""
+    words = "word " * 40
+    page = f"<body><article><p>one {words}<p class=ad>buy now<p>two {words}<ul><li class=ad>spam<li>three {words}</ul><dl><dd class=promo>deal<dd>four {words}</dl><table><tr><td class=ad>win<td>five {words}<tr class=ad><td>prize<tr><td>six {words}</table><p class=copyright>all ours<div>seven {words}</div><select><option>pick<option>this</select><p>eight {words}</article></body>"
+    got = text_of(page)
+    for k in ("one", "two", "three", "four", "five", "six", "seven", "eight"):
+        assert f"{k} word" in got
+    for k in ("buy", "spam", "deal", "win", "prize", "ours", "pick", "this"):
+        assert k not in got.split()
+    page = f"<body><article><p>start {words} <math><mi>energy</mi></math> <object>shown {words}</object> <noscript>plain {words}</noscript> <svg><text>label</text></svg> <p>last {words}<object>open {words}<p>end</article></body>"
+    assert all(k in text_of(page).split() for k in ("start", "energy", "shown", "plain", "label", "last", "open", "end"))
+    nested = f"<body><article><ul><li>outer <ul><li class=ad>spam</ul>after {words}</ul><table class=ad><tr><td><p>spam</table><p>tail {words}</article></body>"
+    got = text_of(nested).split()
+    assert "outer" in got and "after" in got and "tail" in got and "spam" not in got
