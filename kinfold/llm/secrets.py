@@ -6,7 +6,7 @@ intersected, and the expressions run only over the texts that are left. Rules th
 trigram run over every text. Everything is a DataFrame operation.
 
 Spans are [start, end) in code points, leftmost and not overlapping within a kind. Null texts
-are empty. Rows are kept as they come: a repeated row is returned as often as it came. Other
+are empty; a null doc_id is an id. Rows are kept as they come: a repeated row is returned as often as it came. Other
 columns are ignored. An empty table gives an empty result.
 """
 
@@ -75,6 +75,12 @@ def _placed(found: DataFrame) -> DataFrame:
     return rows.withColumn("end", end).where("counts").select("doc_id", "mark", "kind", (F.col("end") - F.col("len")).alias("start"), "end")
 
 
+def _joined(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """On doc_id, where nulls are equal, and mark."""
+    right = right.withColumnsRenamed({"doc_id": "_id", "mark": "_mark"})
+    return left.join(right, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), how).drop("_id", "_mark")
+
+
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, n_base: int = len(BASE_RULES)) -> DataFrame:
     """doc_id, n_<kind> for each base rule, base_sha256, spans; one row for each row of docs."""
     spark = docs.sparkSession
@@ -91,7 +97,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, n_base: int =
     met = index.join(wanted, "trigram").groupBy("doc_id", "mark", "rule", "alternative", "all").agg(F.bit_or("bit").alias("bits")).where("bits = all")
     candidates = scratch.save(met.groupBy("doc_id", "mark").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("rules")))
     checked = [F.when(F.col("rules").bitwiseAND(F.lit(1 << k)) != 0, _found(F.col("text"), rules[k], k)) for k in asked]
-    matched = keyed.join(candidates, ["doc_id", "mark"]).select("doc_id", "mark", F.explode(F.array(*checked)).alias("found"))
+    matched = _joined(keyed, candidates).select("doc_id", "mark", F.explode(F.array(*checked)).alias("found"))
     scanned = [F.when(F.col("text").rlike(_quick(rules[k])), _found(F.col("text"), rules[k]._replace(pattern=_quick(rules[k])), k)) for k in range(len(rules)) if k not in asked]
     if scanned:
         matched = matched.union(keyed.select("doc_id", "mark", F.explode(F.array(*scanned)).alias("found")))
@@ -104,7 +110,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, n_base: int =
         F.array_sort(F.collect_list(span)).alias("every"),
     )
     joined = lambda c: F.concat_ws(",", F.transform(c, lambda x: x["s"]))
-    out = keyed.select("doc_id", "mark").join(lists, ["doc_id", "mark"], "left")
+    out = _joined(keyed.select("doc_id", "mark"), lists, "left")
     none = F.array().cast("array<struct<start:bigint,kind:int,s:string>>")
     return out.select(
         "doc_id",

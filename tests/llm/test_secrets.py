@@ -39,3 +39,9 @@ def test_spans(spark):
     got = sorted(tuple(r) for r in find_secrets(docs).collect())
     assert got == sorted((i, *brute(t)) for i, t in rows)
     assert find_secrets(docs.limit(0)).count() == 0
+
+
+def test_null_ids(spark):
+    rows = [(None, "token=abcdef"), (None, "AKIA" + "Q" * 16), (None, "AKIA" + "Q" * 16), (None, None), (1, "token=abcdef"), (None, "a1" * 12)]
+    got = [tuple(r) for r in find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted(((i, *brute(t)) for i, t in rows), key=str)
