@@ -6,16 +6,19 @@ halves**2 tables, about the square root of what separate tables would take. Cand
 checked on the full shingle sets, so no link is wrong; a pair at the threshold s is missed with
 probability of about 2 * (1 - s**rows)**halves.
 
-Exact copies collapse to one class before any pair is formed. Each member is first compared with
-the least other member of its buckets, then in every bucket with a pivot drawn anew for it; members of the same component need no
-comparison, and what a bucket still holds of several components is compared in full: small
-buckets by a join, larger ones in blocks of bounded size, where a pair is made only if it may
-be a link (and in its first common bucket). Before texts are read, a pair must agree in about
-as many minhashes as the threshold lets expect, less SIGMAS standard deviations.
+Exact copies collapse to one class before any key is formed. A half key that one class alone has
+can't be part of a shared table key, so only repeated ones are combined. Classes that share
+buckets, directly or through others, form a region; each text of a region is read once more and
+meets the others in one task, which intersects all their sets as a product of incidence
+matrices and returns no more links than join what it found linked. A region of more than BLOCK
+classes or WEIGHT shingles is dealt into blocks. Each is first united for itself; then some
+members of each component meet, which unites the parts that the blocks have of one group; last
+the blocks meet in pairs, but not where both hold members of the region's main component alone.
 
 Null or wordless texts have no shingles and link with nothing. Texts of fewer words than a
 shingle are one shingle. Rows that repeat a doc_id each take the component of their own text.
-Other columns are ignored. An empty table gives an empty result.
+Rows without a doc_id get no component. Other columns are ignored. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -25,21 +28,18 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.graph import components
+from kinfold.llm.graph import components, forest
 from kinfold.llm.scratch import Scratch
 from kinfold.llm.wordvec import U64, chunks, mix, shingles, utf8, words
 
-#: Rounds of pivots; members of a bucket that is compared by a join, and of a block in a larger one.
-PIVOT_ROUNDS, SMALL, BLOCK = 3, 32, 512
-#: Minhashes of which a byte each is kept, and how many of those the blocks compare.
-SKETCH, SHORT = 192, 64
-#: How far below its expectation the count of equal minhashes of a candidate may lie.
-SIGMAS = 4.5
+#: Classes and shingles of a block; a task holds two blocks at most.
+BLOCK, WEIGHT = 1024, 1_000_000
+#: Shingles that fewer classes of a task share are counted pair by pair, others by matrix products of so many columns.
+RARE, COLUMNS = 8, 2048
 
 
 def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,163 +48,197 @@ def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
     return a[0][:, None], a[1][:, None]
 
 
+def _sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """Each row's sorted distinct shingles."""
+    data, offsets = utf8(column)
+    for lo, hi in chunks(offsets):
+        h, at = words(data, offsets[lo : hi + 1])
+        for i in range(hi - lo):
+            yield shingles(h[at[i] : at[i + 1]], size)
+
+
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def _sign(batches: Iterator[pa.RecordBatch], size: int, halves: int, rows: int) -> Iterator[pa.RecordBatch]:
-    xor, times = _seeds(max(SKETCH, 2 * halves * rows))
     n = 2 * halves
+    xor, times = _seeds(n * rows)
     for batch in batches:
-        data, offsets = utf8(batch.column(1))
         count, digest, keys = np.zeros(len(batch), np.int64), [], np.zeros((len(batch), n), np.int64)
-        sketch = np.zeros((len(batch), SKETCH), np.uint8)
-        for lo, hi in chunks(offsets):
-            h, at = words(data, offsets[lo : hi + 1])
-            for i in range(lo, hi):
-                s = shingles(h[at[i - lo] : at[i - lo + 1]], size)
-                count[i] = len(s)
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                if len(s):
-                    least = np.full(len(xor), 2**64 - 1, U64)
-                    for k in range(0, len(s), 4096):
-                        np.minimum(least, ((s[None, k : k + 4096] ^ xor) * times).min(1), out=least)
-                    sketch[i] = (least[:SKETCH] >> U64(24)).astype(np.uint8)
-                    key = least[: n * rows : rows]
-                    for r in range(1, rows):
-                        key = mix(key * U64(0x9E3779B97F4A7C15) + least[r : n * rows : rows])
-                    keys[i] = key.view(np.int64)
+        for i, s in enumerate(_sets(batch.column(1), size)):
+            count[i] = len(s)
+            digest.append(_digest(s))
+            if len(s):
+                least = np.full(len(xor), 2**64 - 1, U64)
+                for k in range(0, len(s), 4096):
+                    np.minimum(least, ((s[None, k : k + 4096] ^ xor) * times).min(1), out=least)
+                key = least[::rows]
+                for r in range(1, rows):
+                    key = mix(key * U64(0x9E3779B97F4A7C15) + least[r::rows])
+                keys[i] = key.view(np.int64)
         half = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), n).cast(pa.list_(pa.int64()))
-        marks = pa.array([x.tobytes() for x in sketch], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count), pa.array(digest, pa.binary()), half, marks], ["doc_id", "n_shingles", "digest", "half", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count), pa.array(digest, pa.binary()), half], ["doc_id", "n_shingles", "digest", "half"])
 
 
 def signatures(docs: DataFrame, words_each: int, halves: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, a digest of the shingle set, and the half keys of both collections."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        functools.partial(_sign, size=words_each, halves=halves, rows=rows), "doc_id long, n_shingles long, digest binary, half array<long>, sketch binary"
+        functools.partial(_sign, size=words_each, halves=halves, rows=rows), "doc_id long, n_shingles long, digest binary, half array<long>"
     )
 
 
-def _confirm(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    last: tuple[int | None, np.ndarray] = (None, np.zeros(0, U64))
-    for batch in batches:
-        us, vs, keep = batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.zeros(len(batch), bool)
-        left, lefts = utf8(batch.column(2))
-        right, rights = utf8(batch.column(3))
-        for i in range(len(batch)):
-            if last[0] != (mark := (us[i], lefts[i + 1] - lefts[i])):
-                last = (mark, shingles(words(left, lefts[i : i + 2])[0], size))
-            a, b = last[1], shingles(words(right, rights[i : i + 2])[0], size)
-            if den * min(len(a), len(b)) >= num * max(len(a), len(b)):
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep[i] = den * both >= num * (len(a) + len(b) - both) and both > 0
-        mask = pa.array(keep)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
-
+def shared_buckets(classes: DataFrame, halves: int, scratch: Scratch) -> DataFrame:
+    """(rep, least rep of a bucket) for the buckets of several classes."""
+    each = classes.select("rep", F.posexplode("half").alias("i", "h")).select("rep", "i", F.xxhash64("i", "h").alias("h"))
+    several = lambda rows, key: rows.groupBy(key).agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select(key, "least")
+    repeated = each.join(several(each, "h").select("h"), "h", "left_semi")
+    side = lambda first: F.collect_list(F.when((F.col("i") < halves) == first, F.col("h")))
+    both = repeated.groupBy("rep").agg(side(True).alias("a"), side(False).alias("b"))
+    keys = scratch.save(both).select("rep", F.explode(F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y))))).alias("key"))
+    return keys.join(several(keys, "key"), "key").where("rep <> least").select("rep", "least").distinct()
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
+    """Sizes of the intersections of each set of left with each of right, or of left."""
+    sets, a = left + (right or []), len(left)
+    own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, col, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    out = np.zeros((a, len(right) if right is not None else a))
+    order = np.argsort(col, kind="stable")
+    own, df_of = own[order], np.repeat(df, df)
+    pairs = []
+    for k in range(2, min(RARE, len(sets) + 1)):
+        rows = own[df_of == k].reshape(-1, k)
+        for x in range(k):
+            for y in range(x + 1, k):
+                pairs.append(rows[:, x] * len(sets) + rows[:, y])  # the first is the lesser, as the order is stable
+    if pairs:
+        at, n = np.unique(np.concatenate(pairs), return_counts=True)
+        x, y = at // len(sets), at % len(sets)
+        if right is None:
+            out[x, y] = out[y, x] = n
+        else:
+            across = (x < a) & (y >= a)
+            out[x[across], y[across] - a] = n[across]
+    often = df_of >= RARE
+    own, col = own[often], np.repeat(np.arange((df >= RARE).sum()), df[df >= RARE])
+    for k in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
+        lo, hi = np.searchsorted(col, (k, k + COLUMNS))
+        x = np.zeros((len(sets), COLUMNS), np.float32)
+        x[own[lo:hi], col[lo:hi] - k] = 1
+        out += x[:a] @ (x[:a] if right is None else x[a:]).T
+    if right is None:
+        np.fill_diagonal(out, [len(s) for s in left])
+    return out.astype(np.int64)
+
+
+def linked(sets: list[np.ndarray], node: np.ndarray, label: np.ndarray, first: np.ndarray | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, lesser node) that join whatever is linked among different labels; of `first` sets with the others, if given."""
+    every = np.arange(len(sets))
+    a, b = (every, every) if first is None else (every[first], every[~first])
+    both = overlaps([sets[i] for i in a], None if first is None else [sets[i] for i in b])
+    n = np.array([len(s) for s in sets])
+    link = (den * both >= num * (n[a][:, None] + n[b][None] - both)) & (both > 0) & (label[a][:, None] != label[b][None])
+    x, y = np.nonzero(link)
+    u, v = forest(node[a[x]], node[b[y]])
+    return u[u != v], v[u != v]
+
+
+def _verify(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Rows in order of their group: (region, low, high, block, rep, label, digest, text)."""
+    held: list[tuple] = []
+    seen: set[tuple] = set()
+    now = None
+
+    def made():
+        u = v = np.zeros(0, np.int64)
+        block, node, label = (np.array([r[k] for r in held], np.int64) for k in range(3))
+        first = block == now[1] if now[1] != now[2] else None
+        if len(held) > 1 and (first is None or 0 < first.sum() < len(held)):
+            u, v = linked([r[3] for r in held], node, label, first, num, den)
+        held.clear()
+        seen.clear()
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-def _tables(halves: int) -> Column:
-    """A table key for each pair of half keys from either collection, with the pair's number."""
+    for batch in batches:
+        rows = zip(*(batch.column(k).to_pylist() for k in range(7)), _sets(batch.column(7), size), strict=True)
+        for *key, block, rep, label, digest, s in rows:
+            if key != now and held:
+                yield made()
+            now = key
+            # a repeated row counts once, and of several texts with one id the class's own
+            if (rep, digest) not in seen and _digest(s) == digest:
+                seen.add((rep, digest))
+                held.append((block, rep, label, s.copy()))
+    if held:
+        yield made()
 
-    def of(i):
-        first = F.get("half", i)
-        return F.transform(F.sequence(F.lit(0), F.lit(halves - 1)), lambda j: F.struct(F.xxhash64(i * halves + j, first, F.get("half", j + halves)).alias("key"), (i * halves + j).alias("table")))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(halves - 1)), of))
+def _verified(rows: DataFrame, words_each: int, num: int, den: int) -> DataFrame:
+    """(u, v): links within the groups (region, low, high)."""
+    group = ["region", "low", "high"]
+    dealt = rows.select(*group, "block", "rep", "label", "digest", "text").repartition(*group).sortWithinPartitions(*group, "rep")
+    return dealt.mapInArrow(functools.partial(_verify, size=words_each, num=num, den=den), "u long, v long").distinct()
 
 
-def _least_agreement(num: int, den: int, n: int) -> int:
-    s = num / den
-    return max(1, int(np.floor(n * s - SIGMAS * np.sqrt(n * s * (1 - s)))))
+def _blocks(rows: DataFrame, block: int, weight: int) -> DataFrame:
+    """region, blocks: how many its classes fill."""
+    return rows.groupBy("region").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / weight)).cast("int").alias("blocks"))
 
 
-def _plausible(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Of (u, v, n of u, n of v, sketches), the pairs whose sizes and sketches allow a link."""
-    for batch in batches:
-        if not len(batch):
-            continue
-        nu, nv = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-        a, b = (np.stack([np.frombuffer(x, np.uint8) for x in batch.column(k).to_pylist()]) for k in (4, 5))
-        keep = (den * np.minimum(nu, nv) >= num * np.maximum(nu, nv)) & ((a == b).sum(1) >= _least_agreement(num, den, a.shape[1]))
-        mask = pa.array(keep)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
-
-
-def _block(rows: pd.DataFrame, num: int, den: int, halves: int) -> pd.DataFrame:
-    """Of two blocks of a bucket, the pairs of different components that may be links and have no earlier common bucket."""
-    rep, part, n, block = (rows[c].to_numpy() for c in ("rep", "component", "n", "block"))
-    sketch = np.stack([np.frombuffer(x, np.uint8) for x in rows["sketch"]])
-    half = np.stack([np.asarray(x, np.int32) for x in rows["half"]])
-    table, low, high = rows["table"].iat[0], rows["low"].iat[0], rows["high"].iat[0]
-    left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-    least, us, vs = _least_agreement(num, den, sketch.shape[1]), [], []
-    for i in left:
-        ok = right[(part[right] != part[i]) & (den * np.minimum(n[right], n[i]) >= num * np.maximum(n[right], n[i]))]
-        ok = ok[ok > i] if low == high else ok
-        ok = ok[(sketch[ok] == sketch[i]).sum(1) >= least]
-        if len(ok):
-            same = half[ok] == half[i]
-            ok = ok[same[:, :halves].argmax(1) * halves + same[:, halves:].argmax(1) == table]
-            us.append(np.maximum(rep[ok], rep[i]))
-            vs.append(np.minimum(rep[ok], rep[i]))
-    empty = [np.zeros(0, np.int64)]
-    return pd.DataFrame({"u": np.concatenate(us or empty), "v": np.concatenate(vs or empty)})
-
-
-def _cross_pairs(members: DataFrame, sizes: DataFrame, classes: DataFrame, num: int, den: int, halves: int) -> DataFrame:
-    """All pairs of different components that share a bucket and may be links."""
-    sized = members.join(sizes, "key")
-    small = sized.where(F.col("size") <= SMALL).select("key", "rep", "component")
-    other = small.toDF("key", "rep2", "component2")
-    near = small.join(other, "key").where("component < component2").select(F.greatest("rep", "rep2").alias("u"), F.least("rep", "rep2").alias("v"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    large = sized.where(F.col("size") > SMALL).withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    large = large.select("key", "table", "rep", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    mark = F.transform("half", lambda x: F.pmod(F.shiftright(x, 3), F.lit(1 << 31)).cast("int")).alias("half")
-    large = large.join(classes.select("rep", "n", mark, F.substring("sketch", 1, SHORT).alias("sketch")), "rep")
-    far = large.groupBy("key", "low", "high").applyInPandas(functools.partial(_block, num=num, den=den, halves=halves), "u long, v long")
-    return near.union(far)
-
-
-def near_duplicates(docs: DataFrame, words_each: int = 5, num: int = 80, den: int = 100, halves: int = 10, rows: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, words_each: int = 5, num: int = 80, den: int = 100, halves: int = 16, rows: int = 4, block: int = BLOCK, weight: int = WEIGHT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: documents whose shingle sets have den * intersection >= num * union are linked."""
     scratch = Scratch(docs.sparkSession, "minhash")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = scratch.save(signatures(text, words_each, halves, rows))
-    first = [F.first(c).alias(c) for c in ("half", "sketch")]
-    classes = scratch.save(sig.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), *first))
-    keys = classes.select("rep", F.inline(_tables(halves)))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = scratch.save(keys.join(shared.select("key"), "key"))
-    del keys, shared
-    scratch.release()
-    links: DataFrame | None = None
-    labels = None
-    open_members, sizes = members.withColumn("component", F.col("rep")), None
-    for turn in range(PIVOT_ROUNDS + 1):
-        if turn:
-            labelled = members.join(labels, members.rep == labels.node, "left").select("key", "table", "rep", F.coalesce("component", "rep").alias("component"))
-            sizes = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key", "size")
-            open_members = scratch.save(labelled.join(sizes.select("key"), "key"))
-            sizes = open_members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-        if turn == PIVOT_ROUNDS:
-            pairs = _cross_pairs(open_members, sizes, classes, num, den, halves).distinct()
-        else:
-            by = F.xxhash64("rep", "key", F.lit(turn)) if turn else F.col("rep")
-            pivots = open_members.groupBy("key").agg(F.min_by(F.struct("rep", "component"), by).alias("pivot")).select("key", F.col("pivot.rep").alias("rep2"), F.col("pivot.component").alias("component2"))
-            pairs = open_members.join(pivots, "key").where("component <> component2").select("rep", "rep2")
-            if not turn:  # at first a single comparison for each member settles most groups
-                pairs = pairs.groupBy("rep").agg(F.min("rep2").alias("rep2"))
-            pairs = pairs.select(F.greatest("rep", "rep2").alias("u"), F.least("rep", "rep2").alias("v")).distinct()
-        side = classes.select("rep", "n", "sketch")
-        fit = pairs.join(side.toDF("u", "nu", "su"), "u").join(side.toDF("v", "nv", "sv"), "v").select("u", "v", "nu", "nv", "su", "sv")
-        fit = scratch.save(fit.mapInArrow(functools.partial(_plausible, num=num, den=den), "u long, v long").distinct())
-        texts = text.join(fit.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "doc_id", "left_semi")
-        texts = scratch.save(texts.distinct())
-        full = fit.join(texts.toDF("u", "tu"), "u").join(texts.toDF("v", "tv"), "v").select("u", "v", "tu", "tv")
-        found = full.mapInArrow(functools.partial(_confirm, size=words_each, num=num, den=den), "u long, v long").distinct()
-        links = scratch.save(found if links is None else links.union(found))
-        scratch.drop(texts)
-        labels = scratch.save(components(links, scratch))
-        del pairs, side, fit, texts, full, found, open_members
-        scratch.release()
+    classes = scratch.save(sig.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("half").alias("half")))
+    region = components(shared_buckets(classes, halves, scratch), scratch).toDF("rep", "region")
+    inside = classes.select("rep", "n", "digest").join(region, "rep")
+    inside = inside.join(_blocks(inside, block, weight), "region").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    inside = scratch.save(text.join(inside, text.doc_id == inside.rep).drop("doc_id"))
+    alone = inside.withColumns({"low": F.col("block"), "high": F.col("block"), "label": F.col("rep")})
+    links = scratch.save(_verified(alone, words_each, num, den))
+    labels = components(links, scratch)
+    large = inside.where("blocks > 1")
+    if not large.isEmpty():
+
+        def labelled():
+            known = labels.withColumnRenamed("node", "rep")
+            return large.join(known, "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
+
+        mark = F.xxhash64("rep", F.lit(1))
+        few = labelled().groupBy("region", "block", "label").agg(F.count(F.lit(1)).alias("size"), F.array_distinct(F.array(F.min("rep"), F.min_by("rep", mark), F.max_by("rep", mark))).alias("some"))
+        few = labelled().join(few.where("size > 1").select(F.explode("some").alias("rep")).distinct(), "rep", "left_semi")
+        few = few.drop("blocks").join(_blocks(few, block, weight), "region").withColumn("low", F.pmod(mark, "blocks").cast("int")).withColumn("high", F.col("low"))
+        links = scratch.save(links.union(_verified(few, words_each, num, den)))
+        labels = components(links, scratch)
+        main = labelled().groupBy("region", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("region").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
+        # members of the main component have even blocks, which need not meet each other
+        apart = labelled().join(main, "region").withColumn("block", 2 * F.col("block") + (F.col("label") != F.col("main")).cast("int"))
+        apart = apart.withColumn("other", F.explode(F.sequence(F.lit(0), 2 * F.col("blocks") - 1))).where("shiftright(other, 1) <> shiftright(block, 1) and (block % 2 = 1 or other % 2 = 1)")
+        apart = apart.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+        links = scratch.save(links.union(_verified(apart, words_each, num, den)))
+        labels = components(links, scratch)
+    scratch.drop(inside)
     rep = classes.select("digest", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = sig.join(rep, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def deduplicate(docs: DataFrame, **options) -> DataFrame:
+    """One row of docs for each group of near duplicates, with its columns: that of the least doc_id (null last), then of the least text's hash.
+
+    Rows tell apart by doc_id and text; those that agree in both are copies, of which the least
+    row is kept. Rows without words are no one's copies and stay, repeated ones too.
+    """
+    names = ["row key", "row id"]
+    keyed = docs.select("*", F.xxhash64(*[x for c in ("doc_id", "text") for x in (F.col(c), F.col(c).isNull())]).alias(names[0]), F.col("doc_id").cast("long").alias(names[1]))
+    found = near_duplicates(keyed.select(F.col(names[0]).alias("doc_id"), "text"), **options).distinct()
+    ids = keyed.groupBy(names[0]).agg(F.min(names[1]).alias(names[1]))
+    order = F.struct(F.col(names[1]).isNull(), names[1], names[0])
+    kept = found.join(ids, F.col("doc_id") == F.col(names[0])).groupBy("component_id").agg(F.min_by(names[0], order).alias("kept key"), F.min("n_shingles").alias("row shingles"))
+    rows = keyed.join(kept.select("kept key", "row shingles"), F.col(names[0]) == F.col("kept key"))
+    one = F.col("row shingles") > 0
+    single = rows.where(one).groupBy(names[0]).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")).select("row.*")
+    return rows.where(~one).select(docs.columns).union(single)

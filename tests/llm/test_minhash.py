@@ -4,7 +4,12 @@ import itertools
 import random
 import re
 
-from kinfold.llm.minhash import near_duplicates
+import numpy as np
+import pytest
+
+from kinfold.llm.graph import components
+from kinfold.llm.minhash import deduplicate, near_duplicates, overlaps
+from kinfold.llm.scratch import Scratch
 
 
 def brute(rows, size, num, den):
@@ -60,8 +65,51 @@ def test_hot_group_of_near_copies_chains_together(spark):
         for _ in range(rng.randrange(4)):
             w[rng.randrange(len(w))] = f"z{rng.randrange(10**6)}"
         rows.append((i, " ".join(w)))
-    got = {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
-    assert got == brute(rows, 3, 85, 100)
+    docs, want = spark.createDataFrame(rows, "doc_id long, text string"), brute(rows, 3, 85, 100)
+    # whole, and in blocks so small that all passes run
+    for options in ({}, {"block": 16}, {"weight": 2000}):
+        assert {tuple(r) for r in near_duplicates(docs, 3, 85, **options).collect()} == want
+
+
+def test_all_small_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    assert {tuple(r) for r in near_duplicates(docs, 3, 85).collect()} == brute(rows, 3, 85, 100)
+
+
+def test_overlaps():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))).astype(np.uint64) for _ in range(40)]
+    want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    assert (overlaps(sets) == want).all() and (overlaps(sets[:13], sets[13:]) == want[:13, 13:]).all()
+
+
+@pytest.mark.parametrize("one_task", [0, 50, 10**6])
+def test_components(spark, one_task):
+    rng = random.Random(2)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(k, k + 1) for k in range(500, 560)]
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    got = components(spark.createDataFrame(edges, "u long, v long").repartition(5), Scratch(spark, "t"), one_task)
+    alone = {a for a, b in edges if a == b} - {x for a, b in edges if a != b for x in (a, b)}
+    assert {tuple(r) for r in got.collect()} == {(x, root(x)) for x in parent if x not in alone}
+    assert components(spark.createDataFrame([], "u long, v long"), Scratch(spark, "t"), one_task).count() == 0
+
+
+def test_deduplicate_keeps_one_row_of_a_group(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(5, long, "b", 1), (5, long, "a", 2), (None, long, "c", 3), (3, long + " end", "d", 4), (None, "x y", "e", 5), (None, "x y", "f", 6), (7, "p q", "g", 7), (7, "r s", "h", 8), (1, "", "i", 9), (1, "", "i", 9), (None, None, "j", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string, n_shingles int")
+    got = deduplicate(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.component_id for r in got.collect())) == ["d", "e", "g", "h", "i", "i", "j"]
+    assert deduplicate(docs.limit(0)).count() == 0
 
 
 def test_repeated_rows_and_empty_table(spark):
