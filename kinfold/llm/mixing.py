@@ -7,16 +7,21 @@ is repeated more often than a limit allows. Each step of the bisection evaluates
 exponents in one aggregation over the table of sources, which never leaves the cluster.
 
 The weights are then realised as a budget of words for each source. A source is dealt into
-blocks by keyed hashes; an epoch is a keyed permutation of its blocks. Whole epochs are taken
-while the budget lasts, and of the last one the blocks that still fit; the first block that
-doesn't is dealt into blocks once more, in the same way, and so the budget is met to about
-1 / BLOCKS**2 of a source, or a document. A running sum only ever sees the BLOCKS sums of a
-source, however large the source is.
-
-The result has a row for each document taken, with `copies`: how often it is taken. Documents
-without words cost nothing and are taken in each whole epoch of their source, at least once if
-the source has no words at all. A null source is a source. Rows that repeat a doc_id are dealt
-together and each counted. An empty table gives an empty result.
+blocks by keyed hashes, and each block into parts; an epoch is a keyed permutation of its
+blocks. Whole epochs are taken while the budget lasts, and of the last one the blocks that still
+fit; of the first block that doesn't, the parts that fit, in a permutation of their own. So the
+budget is met to about 1 / BLOCKS**2 of a source, or a document.
+
+Documents are aggregated to the sums of their cells (source, block, part) and, once these are
+decided, read a second time; they are never shuffled. The decisions of up to MOST_BROADCAST
+sources (some kilobytes each) are broadcast; those of more meet the documents by a salted join.
+
+The result has a row for each document taken, with its columns, the `weight` of its source, its
+`words`, and `copies`: how often it is taken. Documents without words cost nothing and are taken
+in each whole epoch of their source, at least once if the source has no words at all. A null
+source is a source. Rows that repeat a doc_id are dealt together and each counted; those without
+an id are dealt by their text. Columns of docs named words, weight or copies are replaced. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,13 +34,12 @@ from kinfold.llm.scratch import Scratch
 BLOCKS = 256
 #: Bisection: a grid of so many exponents for each aggregation, so many times.
 GRID, STEPS = 32, 4
+MOST_BROADCAST, SALTS = 2_000, 64
 
 
 def n_words(text: Column) -> Column:
     """Runs of characters that aren't ASCII white space."""
-    text = F.coalesce(text.cast("string"), F.lit(""))
-    bare = F.translate(text, "\t\n\x0b\x0c\r", "     ")
-    return F.size(F.filter(F.split(bare, " +"), lambda w: w != "")).cast("long")
+    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def _curve(sources: DataFrame, low: float, high: float) -> list:
@@ -68,9 +72,8 @@ def exponent(sources: DataFrame, target_entropy: float | None, most_repeats: flo
     return max(e, over + (1.0 / (GRID - 1) ** STEPS if over > 0 else 0.0))
 
 
-def weights(docs: DataFrame, entropy_gain: float = 0.5, most_repeats: float | None = 4.0, budget_share: float = 1.0) -> DataFrame:
-    """source, docs, words, weight, budget: the target is the corpus's entropy plus entropy_gain of what equal weights would add."""
-    sources = docs.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("words").alias("words"))
+def weights(sources: DataFrame, entropy_gain: float = 0.5, most_repeats: float | None = 4.0, budget_share: float = 1.0) -> DataFrame:
+    """sources (source, words) with weight and budget: the target is the corpus's entropy plus entropy_gain of what equal weights would add."""
     ends = {r.e: r.entropy for r in _curve(sources, 0.0, 1.0)}
     if not ends:
         return sources.withColumn("weight", F.lit(0.0)).withColumn("budget", F.lit(0.0))
@@ -78,7 +81,7 @@ def weights(docs: DataFrame, entropy_gain: float = 0.5, most_repeats: float | No
     e = exponent(sources, target, most_repeats, budget_share)
     whole = sources.where("words > 0").agg(F.sum(F.pow("words", F.lit(e))).alias("z"), F.sum("words").alias("total"))
     w = F.when(F.col("words") > 0, F.pow("words", F.lit(e)) / F.col("z")).otherwise(0.0)
-    return sources.join(F.broadcast(whole)).select("source", "docs", "words", w.alias("weight"), (w * F.col("total") * budget_share).alias("budget"))
+    return sources.join(F.broadcast(whole)).select("source", "words", w.alias("weight"), (w * F.col("total") * budget_share).alias("budget"))
 
 
 def _taken(blocks: DataFrame, by: list[str], seed: int) -> DataFrame:
@@ -90,23 +93,44 @@ def _taken(blocks: DataFrame, by: list[str], seed: int) -> DataFrame:
     return state.withColumn("whole", F.col("upto") <= F.col("left")).withColumn("rest", F.when((F.col("upto") > F.col("left")) & (cut <= F.col("left")), F.col("left") - cut))
 
 
-def mix(docs: DataFrame, entropy_gain: float = 0.5, most_repeats: float | None = 4.0, budget_share: float = 1.0, seed: int = 0) -> DataFrame:
-    """doc_id, source, words, weight, copies for each document that is taken."""
-    scratch = Scratch(docs.sparkSession, "mixing")
-    deal = lambda n: F.pmod(F.xxhash64(F.lit(seed), F.lit(n), F.col("doc_id")), F.lit(BLOCKS)).cast("int")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("source"), n_words(F.col("text")).alias("words"))
-    keyed = scratch.save(keyed.withColumn("block", deal(1)).withColumn("part", deal(2)))
-    plan = scratch.save(weights(keyed, entropy_gain, most_repeats, budget_share))
+def _dealt(docs: DataFrame, seed: int) -> DataFrame:
+    """docs with words and `its cell`: source (its name after =, empty for null), block, part."""
+    text = F.col("text").cast("string")
+    place = lambda n: F.pmod(F.xxhash64(F.lit(seed), F.lit(n), F.col("doc_id").cast("long"), F.when(F.col("doc_id").isNull(), text)), F.lit(BLOCKS)).cast("int")
+    source = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+    return docs.drop("words", "weight", "copies").withColumns({"words": n_words(text), "its cell": F.struct(source.alias("source"), place(1).alias("block"), place(2).alias("part"))})
+
+
+def decide(cells: DataFrame, scratch: Scratch, entropy_gain: float, most_repeats: float | None, budget_share: float, seed: int) -> DataFrame:
+    """source, weight, epochs, and the blocks and parts of blocks that are taken once more; cells: source, block, part, words."""
+    sources = scratch.save(cells.groupBy("source").agg(F.sum("words").alias("words")))
+    plan = scratch.save(weights(sources, entropy_gain, most_repeats, budget_share))
     epochs = F.when(F.col("words") > 0, F.floor(F.col("budget") / F.col("words") + 1e-9)).otherwise(1)
     plan = plan.select("source", "weight", epochs.cast("long").alias("epochs"), F.when(F.col("words") > 0, F.greatest(F.col("budget") - epochs * F.col("words"), F.lit(0.0))).otherwise(0.0).alias("left"))
-    blocks = keyed.groupBy("source", "block").agg(F.sum("words").alias("words")).where("words > 0").join(plan.select("source", "left"), "source")
+    blocks = cells.groupBy("source", "block").agg(F.sum("words").alias("words")).where("words > 0").join(plan.select("source", "left"), "source")
     outer = scratch.save(_taken(blocks, ["source"], seed).select("source", "block", "whole", "rest"))
     edge = outer.where("rest is not null").select("source", "block", F.col("rest").alias("left"))
-    parts = keyed.join(edge, ["source", "block"]).groupBy("source", "block", "part", "left").agg(F.sum("words").alias("words")).where("words > 0")
-    inner = _taken(parts.withColumnRenamed("block", "outer").withColumnRenamed("part", "block"), ["source", "outer"], seed + 1).where("whole")
+    parts = cells.where("words > 0").join(edge, ["source", "block"]).select("source", F.col("block").alias("outer"), F.col("part").alias("block"), "words", "left")
+    inner = _taken(parts, ["source", "outer"], seed + 1).where("whole")
     picked = outer.where("whole").select("source", "block", F.lit(-1).alias("part")).union(inner.select("source", F.col("outer").alias("block"), F.col("block").alias("part")))
     more = picked.groupBy("source").agg(F.collect_set(F.when(F.col("part") < 0, F.col("block"))).alias("blocks"), F.collect_set(F.when(F.col("part") >= 0, F.struct("block", "part"))).alias("parts"))
-    sources = plan.join(more, "source", "left")
-    extra = (F.col("words") > 0) & (F.coalesce(F.array_contains("blocks", F.col("block")), F.lit(False)) | F.coalesce(F.array_contains("parts", F.struct("block", "part")), F.lit(False)))
-    out = keyed.join(sources, "source").withColumn("copies", F.col("epochs") + extra.cast("long")).where("copies > 0")
-    return out.select("doc_id", F.when(F.col("source") != "", F.expr("substr(source, 2)")).alias("source"), "words", "weight", "copies")
+    return plan.drop("left").join(more, "source", "left")
+
+
+def mix(docs: DataFrame, entropy_gain: float = 0.5, most_repeats: float | None = 4.0, budget_share: float = 1.0, seed: int = 0, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """The rows of docs that are taken, with their columns, words, weight and copies."""
+    scratch = Scratch(docs.sparkSession, "mixing")
+    dealt = _dealt(docs, seed)
+    cells = scratch.save(dealt.groupBy("its cell").agg(F.sum("words").alias("words")).select("its cell.*", "words"))
+    plan = scratch.save(decide(cells, scratch, entropy_gain, most_repeats, budget_share, seed).select(F.struct("*").alias("its plan")))
+    on = F.col("its cell.source") == F.col("its plan.source")
+    if plan.count() <= most_broadcast:
+        found = dealt.join(F.broadcast(plan), on)
+    else:
+        salted = plan.withColumn("plan salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = (F.col("its cell.block") * BLOCKS + F.col("its cell.part")) % SALTS
+        found = dealt.withColumn("its salt", salt).join(salted, on & (F.col("its salt") == F.col("plan salt"))).drop("its salt", "plan salt")
+    block, part = F.col("its cell.block"), F.struct(F.col("its cell.block").alias("block"), F.col("its cell.part").alias("part"))
+    extra = F.coalesce(F.array_contains("its plan.blocks", block) | F.array_contains("its plan.parts", part), F.lit(False)) & (F.col("words") > 0)
+    found = found.withColumns({"weight": F.col("its plan.weight"), "copies": F.col("its plan.epochs") + extra.cast("long")})
+    return found.where("copies > 0").drop("its cell", "its plan")

@@ -4,9 +4,10 @@ import math
 import random
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from kinfold.llm.mixing import mix, n_words, weights
+from kinfold.llm.mixing import _dealt, mix, n_words
 
 
 def corpus(spark, seed=4):
@@ -52,3 +53,69 @@ def test_words_and_empty_table(spark):
     texts = spark.createDataFrame([(" a\tb\n\nc\x0b d ",), (None,), ("",)], "t string")
     assert [r[0] for r in texts.select(n_words(F.col("t"))).collect()] == [4, 0, 0]
     assert mix(docs.limit(0)).count() == 0
+
+
+def brute(cells, plan_weights, total, seed):
+    """Copies of each cell (source, block, part) by the rule itself: whole epochs, blocks that fit in their order, parts of the first that doesn't."""
+
+    def place(seed, *values):
+        h = 42
+        for v in (seed, *values):
+            data = v.encode() if isinstance(v, str) else v.to_bytes(4, "little", signed=True)
+            h = xxhash.xxh64_intdigest(data, h)
+        return h - (h >> 63 << 64)
+
+    copies, size, blocks = {}, {}, {}
+    for (s, b, p), n in cells.items():
+        size[s] = size.get(s, 0) + n
+        blocks.setdefault(s, {}).setdefault(b, {})[p] = n
+    for s, of in blocks.items():
+        budget = plan_weights[s] * total if size[s] else 0
+        epochs = int(budget / size[s] + 1e-9) if size[s] else 1
+        left, more = max(budget - epochs * size[s], 0) if size[s] else 0, set()
+        sums = {b: sum(parts.values()) for b, parts in of.items() if sum(parts.values())}
+        for b in sorted(sums, key=lambda b: (place(seed, s, b), b)):
+            if sums[b] <= left:
+                left -= sums[b]
+                more |= {(b, p) for p in of[b]}
+                continue
+            parts = {p: n for p, n in of[b].items() if n}
+            for p in sorted(parts, key=lambda p: (place(seed + 1, s, b, p), p)):
+                if parts[p] > left:
+                    break
+                left -= parts[p]
+                more.add((b, p))
+            break
+        for b in of:
+            for p, n in of[b].items():
+                copies[s, b, p] = epochs + ((b, p) in more)
+    return copies
+
+
+@pytest.mark.parametrize("most_broadcast", [0, 2000])
+def test_against_the_rule(spark, most_broadcast):
+    docs, _ = corpus(spark)
+    dealt = [(r["its cell"], r) for r in _dealt(docs, 3).collect()]
+    cells = {}
+    for c, r in dealt:
+        cells[tuple(c)] = cells.get(tuple(c), 0) + r.words
+    got = mix(docs, seed=3, most_broadcast=most_broadcast)
+    assert got.columns == ["doc_id", "text", "source", "words", "weight", "copies"]
+    w = {("=" + r.source if r.source is not None else ""): r.weight for r in got.collect()}
+    want = brute(cells, w, sum(cells.values()), 3)
+    # a document without words is taken in whole epochs alone
+    size = {}
+    for (s, _, _), n in cells.items():
+        size[s] = size.get(s, 0) + n
+    whole = {s: int(w.get(s, 0) * sum(size.values()) / n + 1e-9) if n else 1 for s, n in size.items()}
+    rows = sorted((str(r.doc_id), str(r.text), n) for c, r in dealt if (n := want[tuple(c)] if r.words else whole[c.source]))
+    assert sorted((str(r.doc_id), str(r.text), r.copies) for r in got.collect()) == rows
+
+
+def test_rows_without_an_id_and_long_texts(spark):
+    rows = [(None, f"t{k} x", "a", k) for k in range(300)] + [(None, "w " * 300_000, "b", 1), (7, None, "b", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, block int")
+    got = mix(docs, 0.0, None)
+    assert got.columns == [*docs.columns, "words", "weight", "copies"]
+    assert sorted(r.block for r in got.collect()) == sorted(r[3] for r in rows) and {r.words for r in got.where("source = 'b'").collect()} == {0, 300_000}
+    assert _dealt(docs, 0).select("its cell.block").distinct().count() > 100
