@@ -1,19 +1,19 @@
 """A training corpus from raw documents: each stage reads what the one before it kept.
 
-Near duplicates and mixing tell documents apart by id and text: rows that share an id but differ
-in text are documents of their own, and so is every text without an id. Repeated rows are kept
-as they come; of rows without an id that have the same words one is kept.
+Every stage decides row by row or for a row's text, so rows without an id or with a shared one
+are documents like others. All but the last return the columns of documents as they came, columns
+that a caller has added included; the last adds words, weight and copies.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from kinfold.llm.decontaminate import without_leaks
-from kinfold.llm.minhash import near_duplicates
+from kinfold.llm.minhash import deduplicate
 from kinfold.llm.mixing import mix
-from kinfold.llm.pii import KINDS, pseudonymise
+from kinfold.llm.pii import pseudonymise
+from kinfold.llm.queries import pii_key
 from kinfold.llm.scratch import Scratch
 from kinfold.llm.toxicity import reject_toxic
 
@@ -22,23 +22,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
-    """docs with _key, equal for rows that agree in the columns, nulls included."""
-    return docs.withColumn("_key", F.xxhash64(*[x for c in columns for x in (F.col(c), F.col(c).isNull())]))
-
-
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return reject_toxic(docs, _table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: five words to a shingle, similarity of 0.8 or more."""
-    keyed = _keyed(docs, "doc_id", "text")
-    found = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"))
-    kept = keyed.join(found.where("kept").select(F.col("doc_id").alias("_key"), "n_shingles").distinct(), "_key")
-    one = F.col("doc_id").isNull() & (F.col("n_shingles") > 0)
-    single = kept.where(one).groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return kept.where(~one).select(docs.columns).union(single)
+    return deduplicate(docs, words_each=5, num=80, den=100)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,15 +36,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pseudonymise(docs).drop(*[f"n_{k}" for k in KINDS])
+    return pseudonymise(docs, pii_key(spark))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents taken, with how often: copies; and their source's weight."""
-    keyed = _keyed(docs, "doc_id", "text", "source")
-    taken = mix(keyed.select(F.col("_key").alias("doc_id"), "text", "source")).select(F.col("doc_id").alias("_key"), "words", "weight", "copies").distinct()
-    kept = keyed.drop("words", "weight", "copies").join(taken, "_key")
-    return kept.select([c for c in docs.columns if c not in ("words", "weight", "copies")] + ["words", "weight", "copies"])
+    return mix(docs)
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("pii", pii), ("mixing", mixing)]

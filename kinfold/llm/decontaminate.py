@@ -93,9 +93,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 20, percent: int
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that hold no passage of the benchmark, with their columns."""
-    found = leaks(docs, benchmark, **options).select(F.col("doc_id").alias("leaked_id")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("leaked_id"), "left_anti")
+    """The rows of docs, of any id or none, whose text holds no passage of the benchmark, with their columns."""
+    keyed = docs.withColumn("row key", F.xxhash64(F.col("text").cast("string"), F.col("doc_id").cast("long")))
+    found = leaks(keyed.select(F.col("row key").alias("doc_id"), "text"), benchmark, **options)
+    return keyed.join(found.select(F.col("doc_id").alias("row key")).distinct(), "row key", "left_anti").drop("row key")
 
 
 def leaks_sql(docs: str = "documents", items: str = "benchmark", window: int = 20, percent: int = 80) -> str:

@@ -8,6 +8,7 @@ so equal values get equal pseudonyms in every document, however they are punctua
 different ones stay apart. Where an expression's longest match doesn't validate, its shorter
 parts up to a separator and later starts are tried; what then doesn't is left as it is.
 
+The caller brings the key; who has it can undo the permutation, so it is no part of this module.
 A null text stays null. Rows are kept as they come, repeated ones too, with all their columns.
 An empty table gives an empty result.
 """
@@ -231,7 +232,7 @@ class Pseudonyms:
         return "".join([*out, text[at:]]), counts
 
 
-def _mask(batches: Iterator[pa.RecordBatch], key: bytes, at: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _mask(batches: Iterator[pa.RecordBatch], key: bytes, at: int, names: list[str], counted: bool) -> Iterator[pa.RecordBatch]:
     change = Pseudonyms(key)
     for batch in batches:
         texts, counts = [], []
@@ -241,13 +242,14 @@ def _mask(batches: Iterator[pa.RecordBatch], key: bytes, at: int, names: list[st
             counts.append(n)
         columns = list(batch.columns)
         columns[at] = pa.array(texts, pa.string())
-        yield pa.RecordBatch.from_arrays([*columns, *[pa.array([n[k] for n in counts], pa.int64()) for k in range(len(KINDS))]], names)
+        if counted:
+            columns += [pa.array([n[k] for n in counts], pa.int64()) for k in range(len(KINDS))]
+        yield pa.RecordBatch.from_arrays(columns, names)
 
 
-def pseudonymise(docs: DataFrame, key: bytes = b"kinfold") -> DataFrame:
-    """docs with text replaced, and after its columns n_<kind> for each kind of value found."""
-    extra = [f"n_{k}" for k in KINDS]
-    docs = docs.withColumn("text", F.col("text").cast("string"))
-    kept = docs.drop(*extra)
+def pseudonymise(docs: DataFrame, key: bytes, counted: bool = False) -> DataFrame:
+    """docs with text replaced; if counted, n_<kind> follows for each kind of value found, in place of columns of that name."""
+    extra = [f"n_{k}" for k in KINDS] if counted else []
+    kept = docs.withColumn("text", F.col("text").cast("string")).drop(*extra)
     schema = T.StructType([*kept.schema.fields, *[T.StructField(name, T.LongType()) for name in extra]])
-    return kept.mapInArrow(functools.partial(_mask, key=key, at=kept.columns.index("text"), names=schema.names), schema)
+    return kept.mapInArrow(functools.partial(_mask, key=key, at=kept.columns.index("text"), names=schema.names, counted=counted), schema)

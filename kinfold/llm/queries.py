@@ -12,6 +12,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pii_key(spark: SparkSession) -> bytes:
+    """The session's key for pseudonyms; without one these queries use a word that protects nothing, for synthetic tables."""
+    return spark.conf.get("spark.kinfold.pii.key", "synthetic").encode()
+
+
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinfold.llm.minhash import near_duplicates
 
@@ -39,7 +44,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinfold.llm.pii import pseudonymise
 
-    return pseudonymise(_table(spark, sf_dir, "documents"))
+    return pseudonymise(_table(spark, sf_dir, "documents"), pii_key(spark), counted=True)
 
 
 def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +68,7 @@ def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinfold.llm.mixing import mix
 
-    return mix(_table(spark, sf_dir, "documents"))
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "words", "weight", "copies")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,10 +40,12 @@ def test_counts_follow_changes(text):
 
 def test_tables(spark):
     docs = spark.createDataFrame([(1, None, 7), (2, "", 7), (3, "x@mail.example.com", 7), (4, "x@mail.example.com " * 20000, 7), (3, "x@mail.example.com", 7)], "doc_id long, text string, n_email int")
-    got = {r.doc_id: r for r in pseudonymise(docs).collect()}
+    got = {r.doc_id: r for r in pseudonymise(docs, b"k", counted=True).collect()}
     assert got[1].text is None and got[2].text == "" and got[3].n_email == 1 and got[4].n_email == 20000
-    assert got[4].text.startswith(got[3].text) and pseudonymise(docs).count() == 5
-    assert pseudonymise(docs.limit(0)).count() == 0
+    assert got[4].text.startswith(got[3].text) and pseudonymise(docs, b"k").count() == 5
+    assert pseudonymise(docs.limit(0), b"k").count() == 0
+    plain = pseudonymise(docs, b"k")
+    assert plain.columns == docs.columns and {r.n_email for r in plain.collect()} == {7}
 
 
 def test_values_beside_other_characters():
