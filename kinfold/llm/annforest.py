@@ -2,15 +2,23 @@
 
 Every vector gets, in each of TREES trees, a string of BITS signs of projections on random
 directions. A tree is a sorted array of those strings; what shares a prefix with a query is a
-range of it. A query descends to its longest matches and then goes up in all trees at once,
-to shorter prefixes, until the ranges hold `quota` entries for each indexed vector's share;
-all vectors in them are scored exactly.
-
-The index is cut into blocks by hash of the id, each with a forest of its own, and a block of
-queries meets every block of the index, so no task holds more than a block of either; the best
-of each block are merged. The quota is the least on a grid that reaches `target` recall against
-brute force on a bounded sample (SAMPLE vectors, PROBES queries, those of least hash). On
-vectors without structure that means most of the index: prefixes can't tell them apart.
+range of it. A query descends to its longest matches and then goes up, one bit at a time in
+every tree in turn, until the ranges hold `quota` entries for each indexed vector; the vectors
+in them, and no others, are scored.
+
+The index is cut into blocks by hash of the id, each with a forest of its own, which is built
+once and written: for each vector its strings and its places in the sorted arrays. A task holds
+the forest of one block and reads the queries past it in batches, so its memory is bounded, the
+index is never copied, and a query is sent once to each block; the best of all blocks are
+merged. Scores are first taken in single precision; what could be among the best after rounding
+is scored again in double precision from the vectors as they are.
+
+The quota is fitted for each length of vectors: the least of a grid that finds `target` of the
+true neighbours of a bounded sample (at most SAMPLE vectors, as many as a block has, of which
+PROBES are queries; those of least hash). Of a query's k neighbours a block has the share that
+falls to it, so that many are looked for in the sample. On vectors without structure that is a good part of a
+block: prefixes tell little about them. `candidates` in the result says how many vectors of the
+neighbour's block were scored for the query.
 
 Null or zero vectors and those holding null or non-finite components take no part. Vectors of
 different length aren't compared. Rows that repeat an id are one vector (the least, as arrays
@@ -21,16 +29,20 @@ result.
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TREES, BITS = 16, 32
-BLOCK, QUERY_BLOCK = 4096, 2048
-SAMPLE, PROBES = 4096, 256
-QUOTAS = (0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 3.0, 4.0, 6.0, 8.0)
+from kinfold.llm.scratch import Scratch
+
+TREES, BITS = 64, 32
+BLOCK = 8192
+SAMPLE, PROBES = BLOCK, 256
+QUOTAS = tuple(0.02 * 1.15**k for k in range(60))
 
 
 @functools.lru_cache(8)
@@ -40,101 +52,172 @@ def _directions(dim: int) -> np.ndarray:
 
 def strings(x: np.ndarray) -> np.ndarray:
     """(n, TREES) strings of BITS signs as unsigned numbers."""
-    signs = (x @ _directions(x.shape[1]) > 0).reshape(len(x), TREES, BITS)
-    return (signs << np.arange(BITS - 1, -1, -1, dtype=np.uint64)).sum(2, dtype=np.uint64)
+    out = np.empty((len(x), TREES), np.uint32)
+    for k in range(0, len(x), 1024):
+        signs = (x[k : k + 1024] @ _directions(x.shape[1]) > 0).reshape(-1, TREES, BITS)
+        out[k : k + 1024] = np.packbits(signs, axis=2).view(">u4")[..., 0]
+    return out
+
+
+def places(h: np.ndarray) -> np.ndarray:
+    """Where each string stands in its tree's sorted array; (n, TREES)."""
+    out, order = np.empty(h.shape, np.int32), np.argsort(h, axis=0, kind="stable")
+    np.put_along_axis(out, order, np.arange(len(h), dtype=np.int32)[:, None], 0)
+    return out
 
 
 class Forest:
-    def __init__(self, x: np.ndarray):
-        h = strings(x)
-        self.n = len(x)
-        self.order = np.argsort(h, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(h, self.order, 0)
-
-    def candidates(self, queries: np.ndarray, quotas: tuple[float, ...]) -> list[np.ndarray]:
-        """For each quota a (queries, n) mask of what the ranges hold at the depth where they first hold enough."""
-        h = strings(queries)
-        low, high = np.empty((2, BITS + 1, len(h), TREES), np.int64)
+    """Sorted arrays of strings (TREES, n), and which vector each entry is."""
+
+    def __init__(self, h: np.ndarray, place: np.ndarray):
+        self.n = len(h)
+        self.sorted, self.entry = np.empty((TREES, self.n), np.uint64), np.empty((TREES, self.n), np.int32)
+        for t in range(TREES):
+            self.sorted[t, place[:, t]] = h[:, t]
+            self.entry[t, place[:, t]] = np.arange(self.n)
+
+    def ranges(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(BITS + 1, queries, TREES) beginnings and ends of what shares a prefix of each length."""
+        low, high = np.empty((2, BITS + 1, len(h), TREES), np.int32)
         for depth in range(BITS + 1):
             rest = np.uint64(BITS - depth)
-            first = h >> rest << rest
+            first = h.astype(np.uint64) >> rest << rest
             last = first + (np.uint64(1) << rest)
             for t in range(TREES):
-                low[depth, :, t] = np.searchsorted(self.sorted[:, t], first[:, t])
-                high[depth, :, t] = np.searchsorted(self.sorted[:, t], last[:, t])
-        held = (high - low).sum(2)
-        out = []
-        for quota in quotas:
-            depth = BITS - (held[::-1] >= min(quota * self.n, TREES * self.n)).argmax(0)
-            mask = np.zeros((len(h), self.n), bool)
-            for q, d in enumerate(depth):
-                if d == 0:
-                    mask[q] = True
-                    continue
-                for t in range(TREES):
-                    mask[q, self.order[low[d, q, t] : high[d, q, t], t]] = True
-            out.append(mask)
-        return out
-
-
-def _best(scores: np.ndarray, k: int) -> np.ndarray:
-    """Column numbers that hold each row's k highest, and ties at the edge, as a mask."""
-    if scores.shape[1] <= k:
-        return scores > -np.inf
-    edge = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-    return (scores >= (edge - 1e-9 * np.maximum(1, np.abs(edge)))[:, None]) & (scores > -np.inf)
-
-
-def _search(left: pd.DataFrame, right: pd.DataFrame, k: int, quota: float) -> pd.DataFrame:
-    """The k nearest of one block of the index to each of a block of queries."""
-    empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-    if not len(left) or not len(right):
-        return empty
-    q, x = np.stack(left["v"]).astype(np.float64), np.stack(right["v"]).astype(np.float64)
-    qid, xid = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
-    mask = Forest(x).candidates(q, (quota,))[0] & (qid[:, None] != xid[None])
-    row, col = np.nonzero(_best(np.where(mask, q @ x.T, -np.inf), k))
-    exact = (q[row] * x[col]).sum(1)
-    order = np.lexsort((xid[col], -exact, row))
-    row, col, exact = row[order], col[order], exact[order]
-    rank = np.arange(len(row)) - np.searchsorted(row, row)
-    keep = rank < k
-    return pd.DataFrame({"query_id": qid[row[keep]], "vec_id": xid[col[keep]], "score": exact[keep]})
-
-
-def calibrate(x: np.ndarray, queries: np.ndarray, k: int, target: float) -> float:
-    """The least quota that finds `target` of the k nearest in a sample."""
-    scores = queries @ x.T
-    same = (queries[:, None, :8] == x[None, :, :8]).all(2)
-    scores[same] = -np.inf
-    truth = np.argsort(-scores, axis=1)[:, :k]
-    forest = Forest(x)
-    for quota in QUOTAS:
-        mask = forest.candidates(queries, (quota,))[0]
-        if np.take_along_axis(mask, truth, 1).mean() >= target:
-            return quota
-    return float(TREES)
-
-
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, target: float = 0.97) -> DataFrame:
-    """query_id, rank, vec_id, score: for each vector that is_query holds for (by vec_id), its k nearest others."""
+                low[depth, :, t] = np.searchsorted(self.sorted[t], first[:, t])
+                high[depth, :, t] = np.searchsorted(self.sorted[t], last[:, t])
+        return low, high
+
+    def candidates(self, h: np.ndarray, quotas: tuple[float, ...], least: int) -> Iterator[list[np.ndarray]]:
+        """For each query and quota the vectors in the first ranges that hold enough entries, `least` vectors or all at any rate."""
+        low, high = self.ranges(h)
+        size = (high - low).astype(np.int64)
+        gain = np.concatenate([size[BITS:], size[:-1][::-1] - size[1:][::-1]])  # by depth, from the longest prefix up
+        held = np.cumsum(gain.transpose(1, 0, 2).reshape(len(h), -1), axis=1)
+        seen = np.zeros(self.n, bool)
+
+        def held_by(q: int, entries: float) -> np.ndarray:
+            last = min(np.searchsorted(held[q], min(entries, TREES * self.n)), held.shape[1] - 1)
+            level, tree = divmod(int(last), TREES)
+            seen[:] = False
+            for t in range(TREES if level else tree + 1):
+                depth = BITS - level + (t > tree)
+                seen[self.entry[t, low[depth, q, t] : high[depth, q, t]]] = True
+            return np.flatnonzero(seen)
+
+        for q in range(len(h)):
+            found = [held_by(q, quota * self.n) for quota in quotas]
+            yield [f if len(f) >= least else held_by(q, TREES * least) for f in found]
+
+
+def _matrix(column: pa.Array, dtype) -> np.ndarray:
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    return values.reshape(len(column), -1).astype(dtype, copy=False)
+
+
+def _build(rows: pd.DataFrame) -> pd.DataFrame:
+    h = strings(np.stack(rows["v"]).astype(np.float64))
+    return pd.DataFrame({"dim": rows["dim"], "block": rows["block"], "vec_id": rows["vec_id"], "v": rows["v"], "h": list(h.astype(np.int64)), "place": list(places(h))})
+
+
+def _best(scores: np.ndarray, k: int, slack: float) -> np.ndarray:
+    """Places of the k highest, and of what is within the slack of the last."""
+    if len(scores) <= k:
+        return np.arange(len(scores))
+    return np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - slack)
+
+
+class _Block:
+    """A block of the index in one task."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, h: np.ndarray, place: np.ndarray):
+        self.ids, self.x, self.forest = ids, x, Forest(h, place)
+        self.single, self.longest = x.astype(np.float32), np.sqrt((x * x).sum(1).max())
+
+    def search(self, ids: np.ndarray, x: np.ndarray, h: np.ndarray, k: int, quota: float) -> Iterator[tuple]:
+        """(query_id, vec_id, score, candidates) arrays for each query, best first."""
+        for i, (found,) in enumerate(self.forest.candidates(h, (quota,), k + 1)):
+            found = found[self.ids[found] != ids[i]]
+            if not len(found):
+                continue
+            q = x[i]
+            size = np.sqrt(q @ q) * self.longest
+            if size < 1e30:
+                slack = 4e-7 * (len(q) + 8) * size
+                near = found[_best(self.single[found] @ q.astype(np.float32), k, slack)]
+            else:  # beyond single precision
+                near = found
+            exact = (self.x[near] * q).sum(1)
+            order = np.lexsort((self.ids[near], -exact))[:k]
+            yield np.full(len(order), ids[i]), self.ids[near[order]], exact[order], np.full(len(order), len(found))
+
+
+def _search(batches: Iterator[pa.RecordBatch], k: int, quotas: dict[int, float]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of (dim, block, is query): the index entries of a block, then the queries."""
+    now, held, forest = None, [], None
+    for batch in batches:
+        key = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3)])
+        edges = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1), len(batch)]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if lo == hi:
+                continue
+            dim, block, is_query = (int(x) for x in key[:, lo])
+            if (dim, block) != now:
+                now, held, forest = (dim, block), [], None
+            part = batch.slice(lo, hi - lo)
+            ids, x, h = part.column(3).to_numpy(), _matrix(part.column(4), np.float64), _matrix(part.column(5), np.int64).astype(np.uint32)
+            if not is_query:
+                held.append((ids, x, h, _matrix(part.column(6), np.int32)))
+                continue
+            if forest is None and held:
+                forest, held = _Block(*map(np.concatenate, zip(*held, strict=True))), []
+            if forest is None:
+                continue
+            for at in range(0, len(ids), 256):
+                rows = slice(at, at + 256)
+                if found := list(forest.search(ids[rows], x[rows], h[rows], k, quotas[dim])):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["query_id", "vec_id", "score", "candidates"])
+
+
+def calibrate(x: np.ndarray, n: int, k: int, target: float) -> float:
+    """The least quota that finds `target` of the k nearest others among x for the first n of them."""
+    if len(x) <= 1:
+        return float(TREES)
+    h = strings(x)
+    forest, scores = Forest(h, places(h)), x[:n] @ x.T
+    scores[np.arange(len(scores)), np.arange(len(scores))] = -np.inf
+    k = min(k, len(x) - 1)
+    edge = np.partition(scores, len(x) - k, axis=1)[:, len(x) - k]
+    hit, due = np.zeros(len(QUOTAS)), 0
+    for q, found in enumerate(forest.candidates(h[:n], QUOTAS, k + 1)):
+        truth = scores[q] >= edge[q]
+        due += truth.sum()
+        hit += [truth[f].sum() for f in found]
+    good = np.flatnonzero(hit >= target * due)
+    return QUOTAS[good[0]] if len(good) else float(TREES)
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, target: float = 0.95, block: int = BLOCK) -> DataFrame:
+    """query_id, rank, vec_id, score, candidates: for each vector that is_query holds for (by vec_id), its k nearest others."""
+    scratch = Scratch(vectors.sparkSession, "annforest")
     v = F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null")
     usable = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
-    rows = rows.where(usable).groupBy("vec_id").agg(F.min("v").alias("v"))
-    place = F.xxhash64("vec_id")
-    n, n_query, dims = rows.agg(F.count(F.lit(1)), F.count_if(is_query), F.count_distinct(F.size("v"))).first()
-    sample = rows.orderBy(place, "vec_id").limit(SAMPLE).collect()
-    quota = float(TREES)
-    if n > SAMPLE // 2 and dims == 1:
-        x = np.array([r.v for r in sample])
-        quota = calibrate(x, x[:PROBES].copy(), k, target)
-    blocks, query_blocks = -(-max(n, 1) // BLOCK), -(-max(n_query, 1) // QUERY_BLOCK)
-    index = rows.withColumn("ib", F.pmod(place, F.lit(blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).withColumn("dim", F.size("v"))
-    queries = rows.where(is_query).withColumn("qb", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks)).cast("int"))
-    queries = queries.withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("dim", F.size("v"))
-    search = lambda left, right: _search(left, right, k, quota)
-    found = queries.groupBy("dim", "qb", "ib").cogroup(index.groupBy("dim", "qb", "ib")).applyInPandas(search, "query_id long, vec_id long, score double")
+    rows = scratch.save(rows.where(usable).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")))
+    place, quotas, blocks = F.xxhash64("vec_id"), {}, {}
+    for dim, n in rows.groupBy("dim").agg(F.count(F.lit(1))).collect():  # one row for most tables
+        blocks[dim] = -(-n // block)
+        sample = rows.where(F.col("dim") == dim).orderBy(place, "vec_id").limit(min(SAMPLE, -(-n // blocks[dim]))).collect()
+        quotas[dim] = calibrate(np.array([r.v for r in sample]), PROBES, -(-k // blocks[dim]), target)
+    if not blocks:
+        return rows.selectExpr("vec_id query_id", "0 rank", "vec_id", "0D score", "0L candidates")
+    n_blocks = F.element_at(F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair]), F.col("dim"))
+    dealt = rows.withColumn("block", F.pmod(place, n_blocks).cast("int"))
+    index = scratch.save(dealt.groupBy("dim", "block").applyInPandas(_build, "dim int, block int, vec_id long, v array<double>, h array<long>, place array<int>"))
+    asked = index.where(is_query).withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1))).withColumn("place", F.lit(None).cast("array<int>"))
+    both = index.withColumn("is_query", F.lit(0)).unionByName(asked.withColumn("is_query", F.lit(1)))
+    both = both.select("dim", "block", "is_query", "vec_id", "v", "h", "place").repartition("dim", "block").sortWithinPartitions("dim", "block", "is_query", "vec_id")
+    found = both.mapInArrow(functools.partial(_search, k=k, quotas=quotas), "query_id long, vec_id long, score double, candidates long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return ranked.select("query_id", "rank", "vec_id", "score", "candidates")
