@@ -28,6 +28,7 @@ result.
 
 from __future__ import annotations
 
+import bisect
 import functools
 from collections.abc import Iterator
 
@@ -187,14 +188,14 @@ def calibrate(x: np.ndarray, n: int, k: int, target: float) -> float:
     forest, scores = Forest(h, places(h)), x[:n] @ x.T
     scores[np.arange(len(scores)), np.arange(len(scores))] = -np.inf
     k = min(k, len(x) - 1)
-    edge = np.partition(scores, len(x) - k, axis=1)[:, len(x) - k]
-    hit, due = np.zeros(len(QUOTAS)), 0
-    for q, found in enumerate(forest.candidates(h[:n], QUOTAS, k + 1)):
-        truth = scores[q] >= edge[q]
-        due += truth.sum()
-        hit += [truth[f].sum() for f in found]
-    good = np.flatnonzero(hit >= target * due)
-    return QUOTAS[good[0]] if len(good) else float(TREES)
+    truth = scores >= np.partition(scores, len(x) - k, axis=1)[:, len(x) - k][:, None]
+
+    def enough(quota: float) -> bool:
+        found = forest.candidates(h[:n], (quota,), k + 1)
+        return sum(truth[q][f].sum() for q, (f,) in enumerate(found)) >= target * truth.sum()
+
+    at = bisect.bisect_left(QUOTAS, True, key=enough)  # recall grows with the quota
+    return QUOTAS[at] if at < len(QUOTAS) else float(TREES)
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, target: float = 0.95, block: int = BLOCK) -> DataFrame:
