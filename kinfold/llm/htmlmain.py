@@ -1,33 +1,36 @@
 """Main text of web pages by the maximum-scoring subsequence of their tokens.
 
-A page is read as a sequence of words and tags. A word scores by its container, positive in
-text and negative in what labelled pages show to be furniture; a tag scores negative, by its
-name. The best contiguous region is found in one scan, and the text blocks in it are returned.
-Weights are log odds learned from labelled pages: within the region or not, per kind of token.
-
-Scripts, styles, comments and the head are never text. Containers that by name, role or class
-are navigation, page header or footer, sidebar, notice, advert, form or reader comments are
-left out of the region's text, and score negative within it. White space in a block becomes one
-space; blocks are joined by two line feeds. Character references are decoded once. What a page
-leaves unclosed ends with it; paragraphs, items, cells and options end where HTML implies it. A null or empty page, or one without text, gives an empty string.
-Rows are kept as they come, repeated ones too. An empty table gives an empty result.
+A page is read as a sequence of words and tags. A word scores between -1 and 1: by a logistic
+regression on the elements around it (their names, the words of their classes, ids and roles,
+whether they are hidden), whose weights are learned from labelled pages. A tag scores negative,
+by how much rarer its name is in the articles of the labelled pages than around them. One linear
+scan finds the contiguous region of the highest sum; its words that score positive are the text.
+In an element that is trusted to be content, tags score least, and what scores negative (adverts,
+forms or comments in an article) is left out but doesn't end the region.
+
+Scripts, styles and comments are never text. White space in a block becomes one space; blocks are
+joined by two line feeds. Character references are decoded once. What a page leaves unclosed ends
+with it; paragraphs, items, cells and options end where HTML implies it. A null or empty page, or
+one without text, gives an empty string. Rows are kept as they come, repeated ones too. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"?+|'[^']*+'?+)?+)*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
 # Elements by what they are in HTML.
 RAW = {"script", "style", "textarea", "title", "template", "iframe", "xmp", "noembed", "noframes", "canvas", "audio", "video"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
@@ -43,125 +46,219 @@ CLOSES = {
 }
 #: A block closes an open paragraph, but none beyond these.
 SHIELDS_P = {"html", "body", "table", "td", "th", "caption", "button", "object"}
-FURNITURE = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "head", "label", "option"}
-FURNITURE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
-FURNITURE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|banner|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|side-bar|rail|widget|footer|header|masthead|"
-    r"comment|comments|commentlist|disqus|reply|replies|respond|cookie|cookies|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|social|share|sharing|related|recommended|"
-    r"pagination|pager|toolbar|copyright|legal|disclaimer|skip-link|hidden|search)(?:$|[\s_-])",
-    re.I,
-)
-MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|content|main|entry|post|story|body|text|page)(?:$|[\s_-])", re.I)
-
-#: Labelled pages: between the marks lies the article.
-LABELLED = (
-    "<head><title>t t</title></head><body><nav><ul><li><a>one</a></li><li><a>two</a></li><li><a>three</a></li></ul></nav><div class=ad>buy now here</div>[[<article><h1>a title of words</h1><p>" + "word " * 60 + "</p><p>" + "word " * 40 + "<a>link</a> word</p><p>" + "word " * 30 + "</p></article>]]<footer>copyright of us</footer></body>",
-    "<body><header><a>home</a><a>about</a></header><div><ul><li><a>x</a></li><li><a>y y</a></li></ul></div>[[<div class=content><h2>words of a head</h2><p>" + "word " * 50 + "<b>bold word</b></p><ul><li>" + "word " * 12 + "</li><li>" + "word " * 9 + "</li></ul><blockquote>" + "word " * 25 + "</blockquote></div>]]<aside><h3>more</h3><a>p</a><a>q</a></aside><form><input><button>go</button></form></body>",
-    "<body><table><tr><td><a>l</a></td><td><a>m</a></td></tr></table>[[<main><p>" + "word " * 80 + "</p><pre>" + "word " * 10 + "</pre><p>" + "word " * 20 + "<i>word</i> <br> word</p></main>]]<div class=comments><p>nice one</p><p>i agree with it</p></div><div><a>prev</a><a>next</a></div><footer><p>imprint</p></footer></body>",
-    "<body><div><a>menu</a> <a>other</a> <span>date</span></div>[[<h1>heading words here</h1><p>" + "word " * 35 + "</p><p>short words</p><h2>under head</h2><p>" + "word " * 45 + "</p>]]<div class=sidebar><ul><li><a>r s</a></li><li><a>t u</a></li></ul></div></body>",
+#: The penalty of the regression; the most that a name speaks for content (an element of text a fifth of it), so that what speaks against it prevails in any surroundings; the log odds from which an element is trusted.
+RIDGE, MOST, TRUST = 0.01, 1.0, 2.5
+#: Attributes that hide an element.
+HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+
+_W, _S = "word " * 30, "some words "
+# Labelled markup: containers of articles, what stands in articles, containers of what isn't article text, what stands in those.
+CONTAINERS = (
+    "", "<article>", "<main>", "<main><article>", "<div class=content>", "<div id=main-content>", "<div class='post-body entry'>", "<section class=story>", "<div id=article-text>",
+    "<article class='post page'>", "<div class='layout with-sidebar'><div class=content>", "<div role=main class=main>", "<div class=page><div class='text body'>", "<div><div>", "<table><tr><td>",
+)
+CONTENT = (
+    f"<p>{_W}</p>", f"<h2>part of it</h2><p>{_W}</p>", f"<ul><li>{_S}</li><li><a>link</a></li></ul>", f"<p>{_W}<a>link</a> <b>word</b> <i>word</i> <em>word</em> <strong>word</strong> <code>word</code></p>", f"<div>{_W}</div>",
+    f"<section><h3>part</h3><p>{_W}</p></section>", f"<table><caption>{_S}</caption><tr><th>key</th><td>{_S}</td></tr></table>", f"<blockquote>{_S}<p>{_W}</p></blockquote>", f"<pre>{_S}</pre>", f"<dl><dt>term</dt><dd>{_S}</dd></dl>",
+    f"<figure><img><figcaption>{_S}</figcaption></figure>", f"<ol><li><p>{_S}</p></li></ol>", f"<p><span>{_W}</span><br>{_W}</p>", f"{_W}", f"<details><summary>{_S}</summary><p>{_W}</p></details>", f"<center>{_W}</center>", f"<div><p>{_W}</p></div>", f"<div class=section id=part>{_W}</div>",
+    f"<p>{_W}<a>linked words</a> {_W}</p>",
+)
+FURNITURE = tuple(
+    ["<nav>", "<footer>", "<aside>", "<form>", "<dialog>", "<menu>", "<button>", "<label>", "<select><option>", "<div hidden>", "<div style='display:none'>", "<div aria-hidden=true>"]
+    + [f"<div role={w}>" for w in "navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split()]
+    + [
+        f"<{('div', 'section', 'p', 'ul', 'li', 'span', 'dd', 'td')[k % 8]} {('class', 'id')[k % 5 == 4]}='{w}'>"
+        for k, w in enumerate(
+            "ad|ads|adv ins|advert|advertisement|sponsored|sponsor|promo|banner|nav|navbar|main-nav|navigation|menu|breadcrumb|breadcrumbs|sidebar|side-bar|side|rail|widget|footer|page-footer|header|site-header masthead|comments|comment|comment-body|commentlist|"
+            "disqus|reply|replies|respond|cookie|cookies|cookie-consent|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|social|share|sharing|related|related-posts|related-articles|recommended|pagination|pager|toolbar|copyright|"
+            "legal|disclaimer|skip|hidden|search|toc".split("|")
+        )
+    ]
+    + ["<nav class=toc>", "<aside class=widget>", "<footer class=footer>", "<article class=comment>", "<section class=comments><article>", "<div id=comments><div class=comment>", "<div class=sidebar><div class=widget>", "<form class=search>"]
 )
+FILLS = (f"{_S}", f"<p>{_S}</p>", "<ul><li><a>one</a></li><li><a>two words</a></li></ul>", f"<h3>more</h3><p>{_W}</p>", f"<div><p>{_W}</p></div>", f"<a>one</a> <a>two</a>", f"<li>{_S}</li>", f"<span>{_S}</span><p>{_W}<b>word</b></p>")
+HEADS = ("<h1>title words here</h1>", f"<header><h1>title words</h1><p>{_S}</p></header>", "", "<div><h1>title</h1></div>")
+TOPS = ("<header><a>home</a><p>slogan</p></header>", "<header class=header><h1>name</h1><nav><a>x</a></nav></header>", "<div><a>home</a> <a>about</a></div>", "<table><tr><td><a>one</a></td><td><a>two</a></td></tr></table>")
 
 
-def _furniture(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element holds furniture; inside: within an article, whose own header is text."""
-    if name in FURNITURE or name == "header" and not inside:
-        return True
-    if name in ("body", "html", "article", "main") or not attributes:
-        return False
-    found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
-    if found.get("role", "").lower() in FURNITURE_ROLES or re.search(r"\bhidden\b(?!\s*=)|display\s*:\s*none", attributes.lower()) or found.get("aria-hidden", "").lower() == "true":
-        return True
-    named = f"{found.get('class', '')} {found.get('id', '')}".strip()
-    spaced = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", named)
-    return bool(named and FURNITURE_NAMES.search(spaced) and not (MAIN_NAMES.search(spaced) and not re.search(r"comment|\bad|sidebar|nav|footer|menu", spaced, re.I)))
-
-
-def _implied(name: str, open_: list[tuple[str, bool]], n_open: Counter[str]) -> int:
-    """How many elements stay open before a start tag of this name; those above end with it."""
-    stay = len(open_)
-    rules = [CLOSES[name]] if name in CLOSES else []
-    if name in BLOCK and name not in ROWS | {"thead", "tbody", "tfoot", "caption"}:
-        rules.append(({"p"}, SHIELDS_P))
-    for closes, shields in rules:
-        if not any(n_open[x] for x in closes):
-            continue
-        for k in reversed(range(len(open_))):
-            x = open_[k][0]
-            if x in closes:
-                stay = min(stay, k)
-                if not closes & ROWS and name != "optgroup":
-                    break
-            elif x in shields:
-                break
-    return stay
-
-
-def tokens(page: str) -> Iterator[tuple[str, str, bool, int]]:
-    """(kind, text, furniture, article): kind is `text`, a tag's name, or /name; article numbers the outermost article or main element, 0 outside."""
-    at, n = 0, len(page)
-    open_: list[tuple[str, bool]] = []
-    n_open: Counter[str] = Counter()
-    deep = inside = count = 0
+def _closed(opened: str, inside: str) -> str:
+    return opened + inside + "".join(f"</{name}>" for name in reversed(re.findall(r"<(\w+)", opened)))
+
+
+def labelled_pages(rounds: int = 12) -> list[str]:
+    """Pages of every container in `rounds` layouts, dealt so that all markup meets; [[ and ]] enclose the article, {{ and }} what in it isn't its text."""
+    out, k = [], 0
+
+    def furniture():
+        nonlocal k
+        k += 1
+        return _closed(FURNITURE[k * 7 % len(FURNITURE)], FILLS[(k + k // len(FURNITURE)) % len(FILLS)])
+
+    for n in range(rounds):
+        out += [f"[[{_W}]]", f"<body>[[{_W}<br>{_W}<b>{_S}</b> <a>{_S}</a>]]</body>", f"[[{''.join(CONTENT[n : n + 4])}]]"] * 3  # fragments without any container
+        for c, container in enumerate(CONTAINERS):
+            at = n * 5 + c * 3
+            parts = [HEADS[(n + c) % 4]]
+            for j in range(4):
+                parts += [CONTENT[(at + j) % len(CONTENT)], "{{" + furniture() + "}}" if j < 3 else "", CONTENT[(at + 7 * j) % len(CONTENT)]]
+            article = "[[" + _closed(container, "".join(parts)) + "]]"
+            out.append(f"<body>{TOPS[(n + c) % 4]}{furniture()}{furniture()}{article}{furniture()}{furniture()}{furniture()}</body>")
+    return out
+
+
+@functools.lru_cache(1 << 14)
+def features(name: str, attributes: str) -> tuple[str, ...]:
+    """An element's name, the words of its class and id, its role, whether it is hidden."""
+    if name in ("body", "html"):  # often left out, and named for all of the page
+        return ()
+    out = {f"<{name}"} if name in BLOCK or name in SPECIAL or name == "label" else set()  # links and the like only cost their tags
+    if attributes:
+        found = {}
+        for k, *values in ATTRIBUTE.findall(attributes):
+            found.setdefault(k.lower(), "".join(values))
+        spaced = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{found.get('class', '')} {found.get('id', '')}")
+        out |= {f".{w}" for w in re.findall(r"[^\W\d_]+", spaced.lower())}
+        out |= {f"={w}" for w in found.get("role", "").lower().split()}
+        if HIDDEN.search(re.sub(r"\b(?:class|id)\s*=\s*(?:\"[^\"]*\"?|'[^']*'?)", "", attributes)):
+            out.add("hidden")
+    return tuple(sorted(out))
+
+
+class _Open:
+    """The elements that are open, what each adds to a word's log odds, and the highest of the sums on the way."""
+
+    def __init__(self, weigh, bias):
+        self.weigh, self.names, self.odds, self.at = weigh, [], [bias], {}
+        self.top = [self.odds[0]]
+
+    def push(self, name: str, attributes: str) -> None:
+        self.at.setdefault(name, []).append(len(self.names))
+        self.names.append(name)
+        self.odds.append(self.odds[-1] + self.weigh(features(name, attributes)))
+        self.top.append(max(self.top[-1], self.odds[-1]))
+
+    def cut(self, size: int) -> None:
+        """Close all but the `size` outermost."""
+        for name in self.names[size:]:
+            if self.at[name] and self.at[name][-1] >= size:
+                del self.at[name][bisect.bisect_left(self.at[name], size) :]
+        del self.names[size:], self.odds[size + 1 :], self.top[size + 1 :]
+
+    def last(self, names) -> int:
+        return max((self.at[x][-1] for x in names if self.at.get(x)), default=-1)
+
+    def start(self, name: str) -> None:
+        """Close what a start tag of this name ends."""
+        stay = len(self.names)
+        rules = [CLOSES[name]] if name in CLOSES else []
+        if name in BLOCK and name not in ROWS | {"thead", "tbody", "tfoot", "caption"}:
+            rules.append(({"p"}, SHIELDS_P))
+        for closes, shields in rules:
+            wall = self.last(shields - closes)
+            beyond = [self.at[x] for x in closes if self.at.get(x) and self.at[x][-1] > wall]
+            if beyond:
+                outermost = closes & ROWS or name == "optgroup"
+                stay = min(stay, min(x[bisect.bisect(x, wall)] for x in beyond) if outermost else max(x[-1] for x in beyond))
+        self.cut(stay)
+
+    def end(self, name: str) -> None:
+        if not self.at.get(name):
+            return
+        if name not in BLOCK and self.last(BLOCK) > self.at[name][-1]:  # an inline end tag closes no block
+            self.at[name].pop()
+        else:
+            self.cut(self.at[name][-1])
+
+
+def tokens(page: str, weigh=lambda found: 0.0, bias=0.0) -> Iterator[tuple[str, str, float, float]]:
+    """(kind, text, log odds, highest log odds around); kind is `text`, a tag's name, or /name. An element's tags are in it."""
+    at, n, open_ = 0, len(page), _Open(weigh, bias)
     while at < n:
         m = TOKEN.search(page, at)
         start = m.start() if m else n
         if start > at:
-            yield "text", page[at:start], deep > 0, count if inside else 0
+            yield "text", page[at:start], open_.odds[-1], open_.top[-1]
         if not m:
             return
         at = max(m.end(), start + 1)
         if m[2] is None:
             continue
-        name = m[2].lower()
+        name, attributes = m[2].lower(), m[3]
         if m[1]:
-            if n_open[name]:
-                while open_:
-                    x, bad = open_.pop()
-                    n_open[x] -= 1
-                    deep -= bad
-                    inside -= x in ("article", "main")
-                    if x == name:
-                        break
-            yield "/" + name, "", deep > 0, count if inside else 0
+            yield "/" + name, "", open_.odds[-1], open_.top[-1]
+            open_.end(name)
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*[^>]*>", re.I).search(page, at)
-            if not m[3].rstrip().endswith("/"):
+            if not attributes.rstrip().endswith("/"):
+                end = _end_of(name).search(page, at)
                 at = end.end() if end else n
-            yield name, "", deep > 0, count if inside else 0
-            continue
-        for x, bad in open_[(stay := _implied(name, open_, n_open)) :]:
-            n_open[x] -= 1
-            deep -= bad
-            inside -= x in ("article", "main")
-        del open_[stay:]
-        bad = _furniture(name, m[3], inside > 0)
-        if name not in VOID and not m[3].endswith("/"):
-            open_.append((name, bad))
-            n_open[name] += 1
-            deep += bad
-            count += name in ("article", "main") and not inside
-            inside += name in ("article", "main")
-        yield name, "", deep > 0, count if inside else 0
-
-
-def _kind(kind: str, furniture: bool) -> str:
-    return f"{'-' if furniture else '+'}{'text' if kind == 'text' else kind.lstrip('/')}"
-
-
-def learn(pages: tuple[str, ...] = LABELLED, smoothing: float = 0.5) -> dict[str, float]:
-    """Log odds of lying in the article for a word and for each tag, from pages with the article marked; tags at most slightly negative."""
-    into: dict[str, int] = {}
-    out: dict[str, int] = {}
-    for page in pages:
-        before, body, after = re.split(r"\[\[|\]\]", page)
-        for part, count in ((before, out), (body, into), (after, out)):
-            for kind, text, furniture, _ in tokens(part):
-                key = _kind(kind, furniture)
-                count[key] = count.get(key, 0) + (len(text.split()) if kind == "text" else 1)
-    n_in, n_out = sum(into.values()), sum(out.values())
-    score = {k: math.log((into.get(k, 0) + smoothing) / (n_in + 1) * (n_out + 1) / (out.get(k, 0) + smoothing)) for k in into.keys() | out.keys()}
-    return {k: max(v, 0.1) if k == "+text" else min(v, -0.1) for k, v in score.items()}
+        else:
+            open_.start(name)
+            if name not in VOID and not attributes.endswith("/"):
+                open_.push(name, attributes)
+        yield name, "", open_.odds[-1], open_.top[-1]
+
+
+@functools.lru_cache(64)
+def _end_of(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I)
+
+
+class Weights:
+    """Of features of the elements around a word, and of tags."""
+
+    def __init__(self, bias: float, feature: dict[str, float], tag: dict[str, float]):
+        self.bias, self.feature, self.tag = bias, feature, tag
+        self.weigh = functools.lru_cache(1 << 14)(self._weigh)
+
+    def _weigh(self, found: tuple[str, ...]) -> float:
+        return sum(self.feature.get(f, 0.0) for f in found)
+
+    def __reduce__(self):
+        return Weights, (self.bias, self.feature, self.tag)
+
+    def scores(self, seen: list[tuple]) -> list[float]:
+        out = []
+        for kind, text, odds, top in seen:
+            if kind != "text":
+                out.append(self.tag.get(kind.lstrip("/"), -0.5) if top < TRUST else -0.1 if odds >= 0 else 0.0)
+            elif odds < 0 and top >= TRUST:
+                out.append(0.0)
+            else:
+                out.append(math.tanh(odds / 2) * len(text.split()))
+        return out
+
+
+@functools.lru_cache(4)
+def learn(pages: tuple[str, ...] | None = None, steps: int = 4000) -> Weights:
+    """A regression on the text nodes of labelled pages, and the log odds of their tags, at most slightly negative."""
+    nodes, truth, tags = [], [], {}
+    for page in pages or labelled_pages():
+        seen = tokens(page, lambda found: (found,), ())  # gathers the features around a text instead of summing weights
+        inside = dropped = False
+        for kind, text, found, _ in seen:
+            if kind != "text":
+                tags.setdefault(kind.lstrip("/"), [0, 0])[inside and not dropped] += 1
+                continue
+            for part in re.split(r"(\[\[|\]\]|\{\{|\}\})", text):
+                if part in ("[[", "]]"):
+                    inside = part == "[["
+                elif part in ("{{", "}}"):
+                    dropped = part == "{{"
+                elif part.strip():
+                    nodes.append({f for element in found for f in element})
+                    truth.append(inside and not dropped)
+    names = sorted(set().union(*nodes))
+    x = np.array([[f in n for f in names] for n in nodes], float)
+    y, w, b = np.array(truth, float), np.zeros(len(names)), 0.0
+    step = 1 / (2 * (x.sum(0) + 1))
+    most = np.array([MOST if f[0] != "<" or f in ("<article", "<main") else MOST / 5 for f in names])
+    for _ in range(steps):
+        miss = 1 / (1 + np.exp(-(x @ w + b))) - y
+        w, b = np.minimum(w - step * (x.T @ miss + RIDGE * w), most), b - miss.mean()
+    out, into = (sum(n[k] for n in tags.values()) for k in (0, 1))
+    tag = {k: min(-0.1, max(-3.0, math.log((n[1] + 0.5) / (into + 1) * (out + 1) / (n[0] + 0.5)))) for k, n in tags.items()}
+    return Weights(b, dict(zip(names, w.tolist(), strict=True)), tag)
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -176,31 +273,15 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return span
 
 
-def main_text(page: str | None, weights: dict[str, float]) -> str:
+def main_text(page: str | None, weights: Weights) -> str:
     if not page:
         return ""
-    seen = list(tokens(page))
-    default = {"+": weights.get("+div", -0.5), "-": -1.0}
-    scores = []
-    for kind, text, furniture, _ in seen:
-        key = _kind(kind, furniture)
-        w = weights.get(key, default[key[0]] if kind != "text" else -0.5)
-        scores.append(w * len(text.split()) if kind == "text" else w)
-    start, end = best_region(scores)
-    # a region within one article element is all of it
-    if start < end and len({article for *_, article in seen[start:end]} - {0}) == 1:
-        own = max(article for *_, article in seen[start:end])
-        words = [sum(len(x[1].split()) for x in seen[start:end] if not x[2] and bool(x[3]) == inner) for inner in (True, False)]
-        if words[0] > words[1]:
-            places = [k for k, x in enumerate(seen) if x[3] == own]
-            start, end = places[0], places[-1] + 1
-    # a heading just before the region, and in its container, opens the article
-    while start and not seen[start - 1][2] and (seen[start - 1][0] != "text" or not seen[start - 1][1].strip() or _headed(seen, start - 1)) and seen[start - 1][0] not in ("body", "head", "html"):
-        start -= 1
+    seen = list(tokens(page, weights.weigh, weights.bias))
+    start, end = best_region(weights.scores(seen))
     blocks, now = [], []
-    for kind, text, furniture, _ in seen[start:end]:
+    for kind, text, odds, _ in seen[start:end]:
         if kind == "text":
-            if not furniture:
+            if odds >= 0:
                 now.append(text)
         elif kind.lstrip("/") in BLOCK:
             blocks.append("".join(now))
@@ -211,17 +292,13 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     return "\n\n".join(b for b in (" ".join(html.unescape(x).split()) for x in blocks) if b)
 
 
-def _headed(seen: list[tuple], k: int) -> bool:
-    return k > 0 and re.fullmatch(r"h[1-6]", seen[k - 1][0]) is not None
-
-
-def _extract(batches: Iterator[pa.RecordBatch], weights: dict[str, float]) -> Iterator[pa.RecordBatch]:
+def _extract(batches: Iterator[pa.RecordBatch], weights: Weights) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [main_text(x.as_py(), weights) for x in batch.column(2)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-def extract(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+def extract(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
     """page_id, url, text, n_chars."""
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     return rows.mapInArrow(functools.partial(_extract, weights=weights or learn()), "page_id long, url string, text string, n_chars long")
