@@ -20,6 +20,11 @@ def per_entity(pred: DataFrame, truth: DataFrame, s1: DataFrame) -> DataFrame:
     return out.withColumn("f05", f05(F.col("tp"), F.col("n_pred"), F.col("n_true")))
 
 
+def of_groups(df: DataFrame, splits: DataFrame, *groups: str) -> DataFrame:
+    """The rows of df whose S1 is in one of the groups."""
+    return df.join(splits.where(F.col("grp").isin(*groups)).select("s1"), "s1", "left_semi")
+
+
 def score(entities: DataFrame) -> DataFrame:
     """Macro F0.5, micro precision and recall, accuracy on entities without matches; by country and over all (null)."""
     tp, p, t = (F.sum(c) for c in ("tp", "n_pred", "n_true"))

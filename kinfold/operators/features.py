@@ -105,7 +105,7 @@ def string_features(sides: DataFrame) -> DataFrame:
 
 
 def pair_features(pairs: DataFrame, norm: DataFrame) -> DataFrame:
-    """Every pair feature, and the context of n_ratio and a_tset."""
+    """Every pair feature, and the context of n_ratio and a_tset, and of the cosines cos and cos_c where pairs have them."""
     sides = with_sides(pairs, norm)
     flat = legal_features(number_features(string_features(sides)))
     keep = [c for c in flat.columns if c not in sides.columns or c in pairs.columns]
@@ -113,7 +113,16 @@ def pair_features(pairs: DataFrame, norm: DataFrame) -> DataFrame:
     core = idf_table(norm, "core")
     for extra in (idf_overlap(sides, core, "core_a", "core_b", "c"), idf_overlap(sides, idf_table(norm, "addr_n"), "addr_n_a", "addr_n_b", "a"), token_differences(sides, core)):
         flat = flat.join(extra, ["s1", "rec"], "left")
-    return context(context(flat, "n_ratio", "kn"), "a_tset", "ka")
+    for score, prefix in (("n_ratio", "kn"), ("a_tset", "ka"), ("cos", "kc"), ("cos_c", "kcc")):
+        flat = context(flat, score, prefix) if score in flat.columns else flat
+    return flat
+
+
+def feature_table(feat: DataFrame, scores: dict[str, DataFrame], groups: DataFrame | None = None) -> DataFrame:
+    """feat with further scores of the pairs (s1, rec, score), each with its context, and with features of the group."""
+    for name, df in scores.items():
+        feat = context(feat.join(df.select("s1", "rec", F.col("score").alias(name)), ["s1", "rec"], "left"), name, f"x_{name}")
+    return feat if groups is None else feat.join(groups, ["s1", "rec"], "left")
 
 
 def cheap_features(pairs: DataFrame, norm: DataFrame) -> DataFrame:
@@ -123,6 +132,6 @@ def cheap_features(pairs: DataFrame, norm: DataFrame) -> DataFrame:
         {"q_tsort": kernel("token_sort_ratio")("name_n_a", "name_n_b"), "q_core": kernel("ratio")("core_a", "core_b"), "q_addr": kernel("token_set_ratio")("addr_n_a", "addr_n_b"), "q_nums": kernel("token_set_ratio")("nums_a", "nums_b"), "q_addr_empty": (F.col("addr_n_b") == "").cast("int"), "q_src": F.col("src_b").cast("int")}
     )
     out = scored.select(*pairs.columns, "q_tsort", "q_core", "q_addr", "q_nums", "q_addr_empty", "q_src")
-    for score in ("q_tsort", "q_core", "q_addr"):
-        out = context(out, score, score)
+    for score in ("q_tsort", "q_core", "q_addr", "q_nums", "cos"):
+        out = context(out, score, score) if score in out.columns else out
     return out

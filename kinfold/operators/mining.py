@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinfold.functions.normalize import is_native
 from kinfold.functions.similarity import kernel
 from kinfold.operators.relational import sample
 from kinfold.operators.windows import competitor
@@ -31,6 +32,22 @@ def evidence(pairs: DataFrame) -> DataFrame:
     return names.union(comps).union(tokens)
 
 
+def true_sides(norm: DataFrame, truth: DataFrame) -> DataFrame:
+    """evidence's input for true pairs: an S1's clean words, a record's words as they are written, both address components."""
+    comps = F.transform(F.split("addr_n", ","), lambda t: F.trim(t))
+    one = norm.select(F.col("entity_id").alias("s1"), "country", F.split("name_n", " ").alias("t1"), comps.alias("c1"))
+    raw = F.split(F.lower(F.trim(F.regexp_replace("name", r"\s+", " "))), " ")
+    two = norm.select(F.col("entity_id").alias("rec"), raw.alias("t2"), comps.alias("c2"))
+    return truth.select("s1", "rec").join(one, "s1").join(two, "rec").withColumn("native2", F.transform("t2", is_native))
+
+
+def mine(norm: DataFrame, truth: DataFrame, splits: DataFrame | None = None) -> DataFrame:
+    """country, kind, variant, canonical: dictionaries from the true pairs, of S1s in group A alone if splits are given."""
+    if splits is not None:
+        truth = truth.join(splits.where("grp = 'A'").select("s1"), "s1", "left_semi")
+    return resolve_chains(select(counts(evidence(true_sides(norm, truth)))).persist())
+
+
 def counts(found: DataFrame) -> DataFrame:
     return found.where("variant <> canonical and variant <> ''").groupBy("country", "kind", "variant", "canonical").agg(F.count(F.lit(1)).alias("n"))
 

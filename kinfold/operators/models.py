@@ -10,19 +10,20 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinfold.operators.windows import ranks
+
 SHARES = (("A", 0.8), ("B", 0.1), ("C1", 0.08), ("C2", 0.02))
 
 
 def assign_splits(s1: DataFrame, seed: int = 0) -> DataFrame:
     """s1, country, grp: shares of each country, in an order by md5."""
-    order = F.row_number().over(Window.partitionBy("country").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "s1")), "s1"))
-    n = F.count(F.lit(1)).over(Window.partitionBy("country"))
-    at = (order - 1) / n
+    marked = s1.select("s1", "country", F.md5(F.concat_ws("|", F.lit(str(seed)), "s1")).alias("_mark"))
+    at = (F.col("_rank") - 1) / F.col("_n")
     grp, edge = F.lit(SHARES[-1][0]), 1.0
     for name, share in reversed(SHARES[:-1]):
         edge -= dict(SHARES)[{"A": "B", "B": "C1", "C1": "C2"}[name]]
         grp = F.when(at < round(edge, 6), name).otherwise(grp)
-    return s1.select("s1", "country", grp.alias("grp"))
+    return ranks(marked, ["country"], "_mark", "s1").select("s1", "country", grp.alias("grp"))
 
 
 def record_groups(records: DataFrame, truth: DataFrame, splits: DataFrame) -> DataFrame:
@@ -47,13 +48,13 @@ def hard_negatives(edges: DataFrame, truth: DataFrame, splits: DataFrame, groups
 
 def batch_plan(pairs: DataFrame, size: int, seed: int = 0) -> DataFrame:
     """s1, rec, country, turn, batch: batches of one country in which an S1 comes once; those under a quarter full are dropped."""
-    mark = F.md5(F.concat_ws("|", F.lit(str(seed)), "s1", "rec"))
-    turn = F.row_number().over(Window.partitionBy("s1").orderBy(mark, "rec"))
-    dealt = pairs.withColumn("turn", turn)
-    place = F.row_number().over(Window.partitionBy("country", "turn").orderBy(mark, "s1", "rec")) - 1
-    dealt = dealt.withColumn("batch", F.floor(place / size).cast("int"))
-    full = F.count(F.lit(1)).over(Window.partitionBy("country", "turn", "batch"))
-    return dealt.withColumn("_n", full).where(F.col("_n") >= size / 4).select("s1", "rec", "country", "turn", "batch")
+    marked = pairs.withColumn("_mark", F.md5(F.concat_ws("|", F.lit(str(seed)), "s1", "rec")))
+    dealt = marked.withColumn("turn", F.row_number().over(Window.partitionBy("s1").orderBy("_mark", "rec")))
+    place = F.col("_rank") - 1
+    batch = F.floor(place / size).cast("int")
+    # only a country's last batch of a turn isn't full
+    full = F.least(F.lit(size), F.col("_n") - batch * size)
+    return ranks(dealt, ["country", "turn"], "_mark", "s1", "rec").where(full >= size / 4).select("s1", "rec", "country", "turn", batch.alias("batch"))
 
 
 def cross_training_set(pairs: DataFrame, truth: DataFrame, splits: DataFrame, groups: DataFrame, n: int, positives: float = 0.4, seed: int = 0) -> DataFrame:
@@ -110,6 +111,16 @@ def predict_stacker(models: list[PipelineModel], df: DataFrame, features: list[s
     return out.select(*df.columns, p.alias("p"))
 
 
+def save_models(models: list[PipelineModel], path: str) -> None:
+    """The models of all folds, in a folder that Spark writes."""
+    for i, m in enumerate(models):
+        m.write().overwrite().save(f"{path}/fold={i}")
+
+
+def load_models(path: str, k: int) -> list[PipelineModel]:
+    return [PipelineModel.load(f"{path}/fold={i}") for i in range(k)]
+
+
 class PairScorer:
     """An offline stand-in for a learned pair encoder: a logistic regression on interaction features."""
 

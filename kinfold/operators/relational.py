@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinfold.operators.windows import ranks
+
 
 def keep_first(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row for each key: the first in the order, which should be total."""
@@ -14,8 +16,8 @@ def keep_first(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
 def sample(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
     """n rows by the md5 of key and seed: the same ones on every run and engine."""
-    mark = F.md5(F.concat_ws("|", *keys, F.lit(str(seed))))
-    return df.orderBy(mark, *keys).limit(n)
+    marked = df.withColumn("_mark", F.md5(F.concat_ws("|", *keys, F.lit(str(seed)))))
+    return ranks(marked, [], "_mark", *keys).where(F.col("_rank") <= n).select(df.columns)
 
 
 def top_list(df: DataFrame, key: str, value: str, order: Column, n: int, name: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 
 import numpy as np
 import pandas as pd
@@ -135,29 +134,40 @@ class NgramEncoder:
     def __init__(self, dim: int = 256, n: tuple[int, ...] = (2, 3, 4)):
         self.dim, self.n, self.idf = dim, n, np.ones(dim, np.float32)
 
-    def _counts(self, text: str) -> np.ndarray:
-        out = np.zeros(self.dim, np.float32)
-        padded = f" {text} "
+    def _counts(self, texts: pd.Series) -> np.ndarray:
+        """(texts, dim) numbers of n-grams of UTF-8 bytes, a space before and after each text."""
+        data = [f" {t} ".encode() for t in texts]
+        size = np.array([len(d) for d in data], np.int64)
+        code = np.frombuffer(b"".join(data), np.uint8).astype(np.uint64)
+        row, end = np.repeat(np.arange(len(data)), size), np.repeat(np.cumsum(size), size)
+        out = np.zeros(len(data) * self.dim)
         for n in self.n:
-            for k in range(len(padded) - n + 1):
-                out[int.from_bytes(hashlib.blake2b(padded[k : k + n].encode(), digest_size=4).digest(), "big") % self.dim] += 1
-        return out
+            m = max(0, len(code) - n + 1)
+            gram = np.full(m, n, np.uint64)
+            for k in range(n):
+                gram = gram << np.uint64(8) | code[k : k + m]
+            gram = (gram ^ gram >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15)
+            slot = ((gram ^ gram >> np.uint64(32)) % np.uint64(self.dim)).astype(np.int64)
+            inside = np.arange(m) + n <= end[:m]
+            out += np.bincount(row[:m][inside] * self.dim + slot[inside], minlength=len(out))
+        return out.reshape(-1, self.dim)
 
     def fit(self, texts: DataFrame) -> NgramEncoder:
         def seen(batches):
             for b in batches:
-                yield pd.DataFrame({"slot": np.concatenate([np.flatnonzero(self._counts(t)) for t in b["text"]] or [np.zeros(0, int)])}).groupby("slot").size().reset_index(name="n")
+                yield pd.DataFrame({"slot": np.arange(self.dim), "n": (self._counts(b["text"]) > 0).sum(0)})
 
         n = texts.count()
         for r in texts.select("text").mapInPandas(seen, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
-            self.idf[r.slot] = np.log1p(n / r.n)
+            self.idf[r.slot] = np.log1p(n / max(r.n, 1))
         return self
 
     def transform(self, texts: DataFrame) -> DataFrame:
         def encode(batches):
             for b in batches:
-                rows = [self._counts(t) * self.idf for t in b["text"]]
-                yield b.drop(columns="text").assign(v=[x / max(float(np.linalg.norm(x)), 1e-12) for x in rows])
+                x = (self._counts(b["text"]) * self.idf).astype(np.float32)
+                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                yield b.drop(columns="text").assign(v=list(x))
 
         kinds = ", ".join(f"{c} {t}" for c, t in texts.dtypes if c != "text")
         return texts.mapInPandas(encode, f"{kinds}, v array<float>")

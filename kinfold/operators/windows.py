@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinfold.tables import written
+
 ALL = (Window.unboundedPreceding, Window.unboundedFollowing)
 
 
@@ -26,3 +28,18 @@ def competitor(pairs: DataFrame, score: str = "p") -> DataFrame:
     out = pairs.withColumns({"_best": best, "_second": F.coalesce(second, F.lit(0.0))})
     arg = F.col(score) == F.col("_best")
     return out.withColumn("comp", F.when(arg, F.col("_second")).otherwise(F.col("_best"))).withColumn("is_arg", arg).withColumn("margin", F.col(score) - F.col("comp")).drop("_best", "_second")
+
+
+def ranks(df: DataFrame, by: list[str], *order: str) -> DataFrame:
+    """df with _rank (from 1) by the order, which should be total, among the _n rows that agree in `by`.
+
+    A hot key is dealt over many tasks: rows are split by range, ranked within their range, and
+    moved on by the sizes of the ranges before. Those sizes, a row for each range and key in it,
+    are the only thing broadcast.
+    """
+    dealt = written(df.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()), "ranks")
+    sizes = dealt.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_size"))
+    within = Window.partitionBy(*by)
+    sizes = sizes.withColumns({"_before": F.sum("_size").over(within.orderBy("_range")) - F.col("_size"), "_n": F.sum("_size").over(within)}).drop("_size")
+    own = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order))
+    return dealt.withColumn("_own", own).join(F.broadcast(sizes), [*by, "_range"]).withColumn("_rank", F.col("_own") + F.col("_before")).drop("_range", "_own", "_before")

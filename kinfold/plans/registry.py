@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,6 +22,7 @@ from kinfold.operators import selection as SE
 from kinfold.operators import windows as WI
 from kinfold.sources import records as SR
 from kinfold.sources.fixture import DUCK_CTES, HELD_OUT, Fixture
+from kinfold.tables import shared_root, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,15 +126,22 @@ on_fixture("key_cap", "SELECT country, name, entity_id FROM (SELECT *, count(*)
 
 # ---- normal forms
 
-FOLDED = "trim(regexp_replace(lower(strip_accents({c})), '\\s+', ' ', 'g')) AS x"
+def latin(x: str) -> str:
+    """DuckDB's spelling of letters by sound."""
+    for k, v in N.DIGRAPHS.items():
+        x = f"replace({x}, '{k}', '{v}')"
+    return f"translate({x}, '{N.ALPHABETS[0]}', '{N.ALPHABETS[1]}')"
+
+
+FOLDED = f"trim(regexp_replace({latin('lower(strip_accents({c}))')}, '\\s+', ' ', 'g')) AS x"
 NORM_NAME = N.layered_sql(f"(SELECT *, {FOLDED.format(c='name')} FROM records)", N.name_steps(DUCK), "entity_id", N.NAME_FIELDS)
 NORM_ADDR = N.layered_sql(f"(SELECT *, {FOLDED.format(c='addr')} FROM records)", N.addr_steps(DUCK), "entity_id", ["addr_n", "nums", "phone"])
 NORM = f"{DUCK_CTES}, nn AS MATERIALIZED ({NORM_NAME}), na AS MATERIALIZED ({NORM_ADDR}), norm AS MATERIALIZED (SELECT r.*, nn.* EXCLUDE (entity_id), na.* EXCLUDE (entity_id) FROM records r JOIN nn USING (entity_id) JOIN na USING (entity_id))"
 
 
 def norm(x: Fixture) -> DataFrame:
-    """Reused by the joins of nearly every feature, so it is kept."""
-    return N.normalize(x.records).persist()
+    """A table of its own, since its expressions are long and nearly every feature joins it."""
+    return written(N.normalize(x.records), "norm")
 
 
 on_fixture("norm_name_fields", NORM_NAME)(lambda x: N.normalize_names(x.records).select("entity_id", *N.NAME_FIELDS))
@@ -157,7 +166,7 @@ def name_pairs(x: Fixture) -> DataFrame:
     return x.pairs.select("s1", "rec").join(side("s1", "_a"), "s1").join(side("rec", "_b"), "rec")
 
 
-SIDES = f"{NORM}, np AS (SELECT p.s1, p.rec, a.name_n AS a, b.name_n AS b, a.core ca, b.core cb, a.addr_n aa, b.addr_n ab FROM pairs p JOIN norm a ON a.entity_id = p.s1 JOIN norm b ON b.entity_id = p.rec WHERE p.rec LIKE 'S2%')"
+SIDES = f"{NORM}, np AS (SELECT p.s1, p.rec, a.name_n AS a, b.name_n AS b, a.core ca, b.core cb, a.addr_n aa, b.addr_n ab FROM pairs p JOIN norm a ON a.entity_id = p.s1 JOIN norm b ON b.entity_id = p.rec)"
 #: The longest common subsequence as a recursion over the shorter string's characters, for distinct pairs of strings.
 LCS_CTES = """du AS (SELECT DISTINCT a, b FROM sp), walk AS (
   SELECT a, b, 0 AS i, list_transform(range(0, length(b) + 1), lambda z: 0::BIGINT) AS st FROM du
@@ -199,36 +208,47 @@ QUERIES["sim_ratio_native"], ORACLES["sim_ratio_native"] = _sim_native, ORACLES[
 
 # ---- mining
 
-MINE_SQL = f"""{NORM}, tc AS (SELECT a.country, list_transform(string_split(b.addr_n, ','), lambda t: trim(t)) c2, list_transform(string_split(a.addr_n, ','), lambda t: trim(t)) c1 FROM truth t JOIN norm a ON a.entity_id = t.s1 JOIN norm b ON b.entity_id = t.rec),
+MINE_SQL = f"""tc AS (SELECT a.country, string_split(a.name_n, ' ') t1, string_split(lower(trim(regexp_replace(b.name, '\\s+', ' ', 'g'))), ' ') t2, list_transform(string_split(b.addr_n, ','), lambda t: trim(t)) c2, list_transform(string_split(a.addr_n, ','), lambda t: trim(t)) c1 FROM tt t JOIN norm a ON a.entity_id = t.s1 JOIN norm b ON b.entity_id = t.rec),
 dd AS (SELECT country, list_distinct(list_filter(c2, lambda t: NOT list_contains(c1, t))) v, list_distinct(list_filter(c1, lambda t: NOT list_contains(c2, t))) w FROM tc),
 oo AS (SELECT country, v[1] v, w[1] w FROM dd WHERE len(v) = 1 AND len(w) = 1),
-ev AS (SELECT country, 'addr_comp' kind, v AS variant, w AS canonical FROM oo WHERE NOT regexp_matches(v, '[0-9]') AND NOT regexp_matches(w, '[0-9]')
+ev AS (SELECT country, 'name_tok' kind, z[1] AS variant, z[2] AS canonical FROM (SELECT country, unnest(list_zip(t2, t1)) z FROM tc WHERE len(t1) = len(t2)) WHERE regexp_matches(z[1], '[\\x{{250}}-\\x{{10FFFF}}]')
+ UNION ALL SELECT country, 'addr_comp', v, w FROM oo WHERE NOT regexp_matches(v, '[0-9]') AND NOT regexp_matches(w, '[0-9]')
  UNION ALL SELECT country, 'addr_tok', d[1][1], d[1][2] FROM (SELECT country, list_filter(list_zip(string_split(v, ' '), string_split(w, ' ')), lambda z: z[1] <> z[2]) d FROM oo WHERE len(string_split(v, ' ')) = len(string_split(w, ' '))) WHERE len(d) = 1 AND NOT regexp_matches(d[1][1], '[0-9]') AND NOT regexp_matches(d[1][2], '[0-9]')),
-mc AS (SELECT country, kind, variant, canonical, count(*) n FROM ev WHERE variant <> canonical AND variant <> '' GROUP BY ALL)"""
+mm AS (SELECT country, kind, variant, canonical, count(*) n FROM ev WHERE variant <> canonical AND variant <> '' GROUP BY ALL)"""
+
+
+def kept(x: Fixture) -> DataFrame:
+    return MI.select(MI.counts(MI.evidence(MI.true_sides(norm(x), x.truth))))
 
 
 def mined(x: Fixture) -> DataFrame:
-    n = norm(x)
-    side = lambda key, s: n.select(F.col("entity_id").alias(key), F.split("name_n", " ").alias("t" + s), F.transform(F.split("addr_n", ","), lambda t: F.trim(t)).alias("c" + s), F.col("country") if s == "1" else F.array(F.col("name_native")).alias("native2"))
-    pairs = x.truth.join(side("s1", "1"), "s1").join(side("rec", "2"), "rec")
-    return MI.counts(MI.evidence(pairs.withColumn("native2", F.transform("t2", lambda t: F.lit(False)))))
+    return MI.mine(norm(x), x.truth, MO.assign_splits(x.s1))
 
 
-on_fixture("mine_counts")(mined)
-ORACLES["mine_counts"] = f"WITH {MINE_SQL} SELECT * FROM mc"
-MAPS = [("A", "addr_tok", "st", "street", 40), ("A", "addr_tok", "st", "saint", 10), ("A", "addr_tok", "rd", "road", 19), ("A", "addr_tok", "ave", "avenue", 20), ("A", "addr_tok", "ave", "av", 14), ("A", "name_tok", "x", "y", 3), ("A", "name_tok", "y", "z", 5), ("A", "name_tok", "p", "q", 9), ("A", "name_tok", "q", "p", 9), ("A", "addr_comp", "ny", "new york", 30), ("B", "addr_tok", "bd", "bl", 20), ("B", "addr_tok", "bd", "bk", 20), ("B", "addr_tok", "zz", "street", 50)]
-MAPS_SQL = "mm AS (SELECT * FROM (VALUES " + ", ".join(str(m) for m in MAPS) + ") t(country, kind, variant, canonical, n))"
+SELECT_SQL = "sel AS (SELECT country, kind, variant, canonical, n FROM (SELECT *, row_number() OVER (PARTITION BY country, kind, variant ORDER BY n DESC, canonical) r, sum(n) OVER (PARTITION BY country, kind, variant) t FROM mm) WHERE r = 1 AND n >= CASE kind WHEN 'name_tok' THEN 3 ELSE 20 END AND n >= 0.6 * t AND canonical <> '' AND (kind = 'name_tok' OR (length(variant) >= 2 AND (kind = 'addr_comp' OR (substr(variant, 1, 1) = substr(canonical, 1, 1) AND regexp_matches(canonical, array_to_string(string_split(variant, ''), '.*')))))))"
+CHAIN_SQL = "ch AS (SELECT country, kind, variant, canonical AS target, [variant] AS seen FROM sel UNION ALL SELECT ch.country, ch.kind, ch.variant, s.canonical, list_append(seen, target) FROM ch JOIN sel s ON s.country = ch.country AND s.kind = ch.kind AND s.variant = ch.target WHERE NOT list_contains(seen, s.canonical)), mp AS (SELECT country, kind, variant, arg_max(target, len(seen)) AS canonical FROM ch GROUP BY ALL)"
+on_fixture("mine_counts")(lambda x: MI.counts(MI.evidence(MI.true_sides(norm(x), x.truth))))
+on_fixture("mine_select")(kept)
+on_fixture("mine_chain")(mined)
+ALL_TRUE = f"WITH RECURSIVE {NORM}, tt AS (SELECT * FROM truth), {MINE_SQL}, {SELECT_SQL}"
+TRAIN = "sp AS (SELECT s1, country, CASE WHEN a < 0.8 THEN 'A' WHEN a < 0.9 THEN 'B' WHEN a < 0.98 THEN 'C1' ELSE 'C2' END grp FROM (SELECT *, (row_number() OVER (PARTITION BY country ORDER BY md5('0|' || s1), s1) - 1) / count(*) OVER (PARTITION BY country) a FROM s1s))"
+OF_TRAIN = f"WITH RECURSIVE {NORM}, {TRAIN}, tt AS (SELECT t.* FROM truth t JOIN sp ON sp.s1 = t.s1 AND grp = 'A'), {MINE_SQL}, {SELECT_SQL}, {CHAIN_SQL}"
+ORACLES |= {"mine_counts": f"{ALL_TRUE} SELECT * FROM mm", "mine_select": f"{ALL_TRUE} SELECT * FROM sel", "mine_chain": f"{OF_TRAIN} SELECT * FROM mp"}
 
 
-def _maps(spark):
-    return spark.createDataFrame(MAPS, "country string, kind string, variant string, canonical string, n long")
+@on_fixture("norm_mapped_fields")
+def _mapped(x: Fixture) -> DataFrame:
+    return N.normalize(x.records, mined(x)).select("entity_id", *N.NAME_FIELDS, "addr_n", "nums", "phone")
 
 
-SELECT_SQL = "sel AS (SELECT country, kind, variant, canonical, n FROM (SELECT *, row_number() OVER (PARTITION BY country, kind, variant ORDER BY n DESC, canonical) r, sum(n) OVER (PARTITION BY country, kind, variant) t FROM mm) WHERE r = 1 AND n >= CASE kind WHEN 'name_tok' THEN 3 ELSE 20 END AND n >= 0.6 * t AND (kind = 'name_tok' OR (length(variant) >= 2 AND (kind = 'addr_comp' OR (substr(variant, 1, 1) = substr(canonical, 1, 1) AND regexp_matches(canonical, array_to_string(string_split(variant, ''), '.*')))))))"
-query("mine_select", "SELECT * FROM sel", f"{MAPS_SQL}, {SELECT_SQL}")(lambda spark, sf_dir: MI.select(_maps(spark)))
-CHAIN_SQL = f"WITH RECURSIVE {MAPS_SQL}, {SELECT_SQL}, ch AS (SELECT country, kind, variant, canonical AS target, [variant] AS seen FROM sel UNION ALL SELECT ch.country, ch.kind, ch.variant, s.canonical, list_append(seen, target) FROM ch JOIN sel s ON s.country = ch.country AND s.kind = ch.kind AND s.variant = ch.target WHERE NOT list_contains(seen, s.canonical)) SELECT country, kind, variant, arg_max(target, len(seen)) AS canonical FROM ch GROUP BY ALL"
-QUERIES["mine_chain"] = lambda spark, sf_dir: MI.resolve_chains(MI.select(_maps(spark)))
-ORACLES["mine_chain"] = CHAIN_SQL
+_kind = lambda k: f"coalesce((SELECT map_from_entries(list({{'k': variant, 'v': canonical}})) FROM mp WHERE kind = '{k}' AND mp.country = r.country), MAP {{}})"
+NATIVE_WORD = "regexp_matches(t, '[\\x{250}-\\x{10FFFF}]')"
+_name = f"array_to_string(list_transform(string_split(lower(trim(regexp_replace(name, '\\s+', ' ', 'g'))), ' '), lambda t: CASE WHEN {NATIVE_WORD} THEN coalesce(m_name[t], t) ELSE t END), ' ')"
+WITH_MAPS = f"(SELECT r.*, {_kind('name_tok')} AS m_name, {_kind('addr_comp')} AS m_comp, {_kind('addr_tok')} AS m_tok, []::VARCHAR[] AS m_drop FROM records r)"
+_spelled = f"CASE WHEN {NATIVE_WORD.replace('(t,', '(name,')} THEN {_name} ELSE name END"
+_names = N.layered_sql(f"(SELECT *, {FOLDED.format(c=_spelled)} FROM {WITH_MAPS})", N.name_steps(DUCK), "entity_id", N.NAME_FIELDS)
+_addrs = N.layered_sql(f"(SELECT *, {FOLDED.format(c='addr')} FROM {WITH_MAPS})", N.addr_steps(DUCK, True), "entity_id", ["addr_n", "nums", "phone"])
+ORACLES["norm_mapped_fields"] = f"{OF_TRAIN}, yn AS ({_names}), ya AS ({_addrs}) SELECT * FROM yn JOIN ya USING (entity_id)"
 on_fixture("pseudo_pairs", f"(SELECT s1, rec, 1 y FROM {COMPETITOR} WHERE country = '{HELD_OUT}' AND p >= 0.9 AND p - comp >= 0.3 ORDER BY md5(s1 || '|' || rec || '|0'), s1, rec LIMIT 200) UNION ALL (SELECT s1, rec, 0 FROM pairs WHERE country = '{HELD_OUT}' AND p <= 0.1 ORDER BY md5(s1 || '|' || rec || '|0'), s1, rec LIMIT 200)")(
     lambda x: MI.pseudo_pairs(x.pairs, [HELD_OUT], 0.9, 0.3, 0.1, 200)
 )
@@ -462,7 +482,7 @@ def training(s, d) -> tuple[DataFrame, Fixture]:
     x = Fixture(s, d)
     n = norm(x)
     feat = FE.pair_features(x.pairs.select("s1", "rec", "country"), n).select("s1", "rec", "country", *FEATURES)
-    return MO.labels(feat, x.truth, MO.assign_splits(x.s1)).persist(), x
+    return written(MO.labels(feat, x.truth, MO.assign_splits(x.s1)), "training"), x
 
 
 def _prune_model(s, d):
@@ -477,6 +497,18 @@ def _stacker(s, d):
     return rounded(MO.predict_stacker(models, feat, FEATURES, "grp = 'A'").select("s1", "rec", "p"))
 
 
+def _saved(s, d):
+    feat, _ = training(s, d)
+    path = f"{shared_root(s)}/kinfold-models-{uuid.uuid4().hex}"
+    MO.save_models(MO.fit_stacker(feat.where("grp = 'A'"), FEATURES, k=2, rounds=3, depth=3), path)
+    return rounded(MO.predict_stacker(MO.load_models(path, 2), feat.where("grp <> 'A'"), FEATURES, "false").select("s1", "rec", "p"))
+
+
+def _importance(s, d):
+    feat, _ = training(s, d)
+    return rounded(s.createDataFrame(MO.importance(MO.fit_gbt(feat.where("grp = 'A'"), FEATURES, rounds=3, depth=3), FEATURES), "feature string, gain double"))
+
+
 def _isotonic(s, d):
     x = Fixture(s, d)
     own = SE.one_to_one(x.pairs)
@@ -493,16 +525,35 @@ def _scorer(s, d):
     return rounded(MO.PairScorer(FEATURES).fit(feat.where("grp = 'A'")).transform(feat.where("grp <> 'A'")).select("s1", "rec", "score"))
 
 
-QUERIES |= {"prune_model": _prune_model, "stacker": _stacker, "isotonic": _isotonic, "transfer": _transfer, "pair_scorer": _scorer}
-on_fixture("group_features")(lambda x: rounded(GR.group_features(x.pairs, norm(x)), 4))
+QUERIES |= {"saved_stacker": _saved, "feature_importance": _importance, "prune_model": _prune_model, "stacker": _stacker, "isotonic": _isotonic, "transfer": _transfer, "pair_scorer": _scorer}
+
+
+def text_vectors(n: DataFrame) -> DataFrame:
+    texts = RT.view_text(n)
+    return written(RT.NgramEncoder(128).fit(texts).transform(texts), "vectors")
+
+
+@on_fixture("group_features")
+def _group_features(x: Fixture) -> DataFrame:
+    n = norm(x)
+    return rounded(GR.group_features(x.pairs, n, text_vectors(n)), 4)
+
+
+@on_fixture("feature_table")
+def _feature_table(x: Fixture) -> DataFrame:
+    n = norm(x)
+    v = text_vectors(n)
+    feat = FE.pair_features(RT.pair_cosines(x.pairs.select("s1", "rec"), v), n)
+    return rounded(FE.feature_table(feat, {"given": x.pairs.withColumnRenamed("p", "score")}, GR.group_features(x.pairs, n, v)), 4)
+
+
+query("group_filter", "SELECT p.s1, p.rec FROM pairs p JOIN sp USING (s1) WHERE grp IN ('B', 'C1')", SPLIT_CTES)(lambda s, d: EV.of_groups((x := Fixture(s, d)).pairs.select("s1", "rec"), MO.assign_splits(x.s1), "B", "C1"))
 on_fixture("s1_num_support")(lambda x: rounded(GR.number_support(x.pairs, norm(x))))
 ORACLES["s1_num_support"] = f"WITH {NORM}{FULL_SIDES}, q AS (SELECT s1, rec, list_distinct({TOK.format(c='na')}) a, list_distinct({TOK.format(c='nb')}) b FROM pp) SELECT s1, rec, round(len(list_intersect(a, b)) / nullif(len(a), 0), 6) g_s1_support FROM q"
 
 
 def _text_knn(s, d):
-    n = norm(Fixture(s, d))
-    texts = RT.view_text(n)
-    v = RT.NgramEncoder(128).fit(texts).transform(texts)
+    v = text_vectors(norm(Fixture(s, d)))
     own = F.startswith(F.col("id"), F.lit("S1-"))
     return RT.knn(v.where(own), v.where(~own), 5, 2).na.fill(RT.ABSENT, ["rf", "rr"])
 

@@ -24,7 +24,9 @@ def records_sql(duck: bool, part: str = "part") -> str:
     for s in (2, 3):
         noisy = f"SELECT *, {h(f'''concat('d{s}', ks)''', 4)} = 0 AS d, {h(f'''concat('n{s}', ks)''', 8)} AS nn, {h(f'''concat('a{s}', ks)''', 8)} AS an FROM base WHERE {h(f'''concat('p{s}', ks)''', 10)} < 8"
         moved = f"SELECT ks, country, size, nn, an, d, CASE WHEN d THEN no + 3 ELSE no END AS no, CASE WHEN d THEN nm || ' & Sons' ELSE nm END AS nm FROM ({noisy}) q"
-        name = "CASE nn WHEN 0 THEN '-- ' || nm WHEN 1 THEN nm || ' Pvt Ltd' WHEN 2 THEN upper(nm) WHEN 3 THEN nm || ' | www.' || replace(nm, ' ', '') || '.com' WHEN 4 THEN 'Old ' || nm || ' dba ' || nm WHEN 5 THEN replace(nm, 'e', 'é') WHEN 6 THEN 'Sri ' || nm ELSE nm END"
+        # source 3 has names in another script, letter for letter
+        native = "nm" if s == 2 else "translate(lower(nm), 'abcdefghijklmnoprstuvxyz', 'абцдефгхижклмнопрстувхыз')"
+        name = f"CASE nn WHEN 0 THEN '-- ' || nm WHEN 1 THEN nm || ' Pvt Ltd' WHEN 2 THEN upper(nm) WHEN 3 THEN nm || ' | www.' || replace(nm, ' ', '') || '.com' WHEN 4 THEN 'Old ' || nm || ' dba ' || nm WHEN 5 THEN replace(nm, 'e', 'é') WHEN 6 THEN 'Sri ' || nm ELSE {native} END"
         addr = f"CASE an WHEN 0 THEN '' WHEN 1 THEN country || ', 0' || no || ' zone ' || size || ' st' WHEN 2 THEN 'null, ' || no || ' zone ' || size || ' street' WHEN 3 THEN no || ' zone ' || size || ' street, ' || country || ', 9876543' || {pad} ELSE no || ' zone ' || size || ' street, ' || country END"
         parts.append(f"SELECT 'S{s}-' || ks AS entity_id, {s} AS src, {name} AS name, {addr} AS addr, country, CASE WHEN d THEN '' ELSE 'S1-' || ks END AS true_s1, ks FROM ({moved}) m")
     return f"WITH base AS ({base}) " + " UNION ALL ".join(parts)

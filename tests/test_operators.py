@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from kinfold.functions.normalize import fold_text, normalize
 from kinfold.functions.similarity import jaro_winkler, lcs, partial_ratio, partial_token_set_ratio, ratio, token_set_ratio, token_sort_ratio
-from kinfold.operators.mining import resolve_chains
-from kinfold.operators.selection import exact_sizes, expected_f05, expected_sizes, one_to_one
+from kinfold.operators.mining import resolve_chains, select
+from kinfold.operators.models import fit_stacker, load_models, predict_stacker, save_models
+from kinfold.operators.selection import exact_sizes, expected_f05, expected_sizes, label_shift, one_to_one
+from kinfold.operators.windows import ranks
 from kinfold.sources.records import read_tsv, result_lists, truth_pairs
 
 
@@ -76,3 +78,56 @@ def test_result_lists_round_trip(spark):
     assert sorted(tuple(r) for r in out.collect()) == [("a", "1,2"), ("b", "")]
     assert sorted(tuple(r) for r in truth_pairs(out).collect()) == [("a", "1"), ("a", "2")]
     assert out.where(F.col("matched_entity_ids") == "").count() == 1
+
+
+def test_dictionaries_apply(spark):
+    rows = [("1", "Рхино маркет", "12 Main St, NY, 5 zone st", "A"), ("2", "Рхино маркет", "12 Main St, NY", "B"), ("3", None, None, "A")]
+    maps = [("A", "name_tok", "рхино", "rhino"), ("A", "addr_comp", "ny", "new york"), ("A", "addr_tok", "st", "saint")]
+    docs = spark.createDataFrame(rows, "id string, name string, addr string, country string")
+    entries = spark.createDataFrame(maps, "country string, kind string, variant string, canonical string")
+    got = {r.id: r for r in normalize(docs, entries, spark.createDataFrame([("A", "5 zone st")], "country string, comp string")).collect()}
+    assert (got["1"].name_n, got["1"].addr_n, got["1"].name_native) == ("rhino market", "12 main saint, new york", True)
+    assert (got["2"].name_n, got["2"].addr_n) == ("rkhino market", "12 main st, ny") and got["3"].name_n == ""
+    assert normalize(docs, entries).columns == normalize(docs).columns
+
+
+def test_dictionaries_select_and_chain(spark):
+    maps = [("A", "addr_tok", "st", "street", 40), ("A", "addr_tok", "st", "saint", 10), ("A", "addr_tok", "rd", "road", 19), ("A", "addr_tok", "ave", "avenue", 20), ("A", "addr_tok", "ave", "av", 14), ("A", "name_tok", "x", "y", 3), ("A", "name_tok", "y", "z", 5), ("A", "addr_comp", "ny", "new york", 30), ("B", "addr_tok", "bd", "bl", 20), ("B", "addr_tok", "bd", "bk", 20), ("B", "addr_tok", "zz", "street", 50)]
+    kept = select(spark.createDataFrame(maps, "country string, kind string, variant string, canonical string, n long"))
+    assert {(r.country, r.variant, r.canonical) for r in kept.collect()} == {("A", "st", "street"), ("A", "x", "y"), ("A", "y", "z"), ("A", "ny", "new york")}
+    assert {(r.variant, r.canonical) for r in resolve_chains(kept).where("kind = 'name_tok'").collect()} == {("x", "z"), ("y", "z")}
+
+
+def test_ranks_of_a_hot_key(spark):
+    rows = [("hot" if k % 10 else f"c{k % 30}", (k * 7919) % 4001) for k in range(4000)]
+    got = ranks(spark.createDataFrame(rows, "country string, v int").repartition(5), ["country"], "v").collect()
+    for key in {c for c, _ in rows}:
+        of = sorted(v for c, v in rows if c == key)
+        assert sorted((r._rank, r.v, r._n) for r in got if r.country == key) == [(i + 1, v, len(of)) for i, v in enumerate(of)]
+    assert ranks(spark.createDataFrame([], "country string, v int"), ["country"], "v").count() == 0
+
+
+def test_label_shift_by_bisection(spark):
+    rng = np.random.default_rng(0)
+    q = rng.random(500)
+    pairs = spark.createDataFrame([(float(x),) for x in [*q, 0.0, 1.0]], "q double")
+    odds = np.log(np.clip(np.append(q, [0, 1]), 1e-6, 1 - 1e-6) / (1 - np.clip(np.append(q, [0, 1]), 1e-6, 1 - 1e-6)))
+    for target in (0.1, 0.6, 3.0):
+        low, high = 0.0, 6.0
+        for _ in range(12):
+            mid = (low + high) / 2
+            n = (odds >= mid).sum() / 200
+            if abs(n - target) < 0.002:
+                break
+            low, high = (mid, high) if n > target else (low, mid)
+        assert label_shift(pairs, target, 200) == mid
+
+
+def test_saved_models(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    rows = [(f"s{k % 40}", f"r{k}", float(x), int(x + 0.1 * y > 0.5)) for k, (x, y) in enumerate(rng.random((300, 2)))]
+    feat = spark.createDataFrame(rows, "s1 string, rec string, f double, y int")
+    models = fit_stacker(feat, ["f"], k=2, rounds=2, depth=2)
+    save_models(models, f"file://{tmp_path}/m")
+    a, b = (sorted((r.rec, r.p) for r in predict_stacker(m, feat, ["f"], "false").collect()) for m in (models, load_models(f"file://{tmp_path}/m", 2)))
+    assert a == b
