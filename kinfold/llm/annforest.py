@@ -208,7 +208,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, target: float = 0
     place, quotas, blocks = F.xxhash64("vec_id"), {}, {}
     for dim, n in rows.groupBy("dim").agg(F.count(F.lit(1))).collect():  # one row for most tables
         blocks[dim] = -(-n // block)
-        sample = rows.where(F.col("dim") == dim).orderBy(place, "vec_id").limit(min(SAMPLE, -(-n // blocks[dim]))).collect()
+        wanted, bits = min(SAMPLE, -(-n // blocks[dim])), 1 << 30
+        few = rows.where(F.col("dim") == dim).where(F.pmod(place, F.lit(bits)) < int(bits * min(1.0, (1.2 * wanted + 500) / n)))
+        sample = few.orderBy(F.pmod(place, F.lit(bits)), "vec_id").limit(wanted).collect()
         quotas[dim] = calibrate(np.array([r.v for r in sample]), PROBES, -(-k // blocks[dim]), target)
     if not blocks:
         return rows.selectExpr("vec_id query_id", "0 rank", "vec_id", "0D score", "0L candidates")
