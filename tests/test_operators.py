@@ -37,6 +37,13 @@ def test_set_sizes(spark):
     assert {r.s1: r.k for r in exact_sizes(q).collect()} == {"a": 1, "b": 1, "c": 0}
 
 
+def test_set_sizes_of_equal_expectation(spark):
+    """More records are exactly as good as one, and a float's last place must not choose."""
+    rows = [("a", "1", 0.96), ("a", "2", 0.64), ("a", "3", 0.4), ("b", "4", 0.91), ("b", "5", 0.65), ("b", "6", 0.04), ("c", "7", 0.18), ("c", "8", 0.16), ("c", "9", 0.16)]
+    q = spark.createDataFrame(rows, "s1 string, rec string, q double")
+    assert {r.s1: r.k for r in expected_sizes(q, bias=-1.0).collect()} == {"a": 1, "b": 1, "c": 1}
+
+
 def test_one_to_one_ties(spark):
     p = spark.createDataFrame([("b", "r", 0.5), ("a", "r", 0.5), ("c", "r", None), ("c", "z", None)], "s1 string, rec string, p double")
     assert sorted((r.s1, r.rec) for r in one_to_one(p).collect()) == [("a", "r"), ("c", "z")]
