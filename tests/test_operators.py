@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinfold.functions.normalize import fold_text, normalize
+from kinfold.functions.normalize import dealt, fold_text, normalize
 from kinfold.functions.similarity import jaro_winkler, lcs, partial_ratio, partial_token_set_ratio, ratio, token_set_ratio, token_sort_ratio
 from kinfold.operators.mining import resolve_chains, select
 from kinfold.operators.models import fit_stacker, load_models, predict_stacker, save_models
@@ -98,6 +98,14 @@ def test_dictionaries_apply(spark):
     assert normalize(docs, entries).columns == normalize(docs).columns
 
 
+def test_normal_forms_plan(spark):
+    """The layers of names stay out of the plan of addresses, and few files are many tasks."""
+    docs = spark.createDataFrame([("1", "Sri Café dba New Ltd", "5th r", "A")], "id string, name string, addr string, country string")
+    plan = normalize(docs.coalesce(1))._jdf.queryExecution().optimizedPlan().toString()
+    assert "formerly known as" not in plan and "name_n" in plan
+    assert dealt(docs.coalesce(1)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_dictionaries_select_and_chain(spark):
     maps = [("A", "addr_tok", "st", "street", 40), ("A", "addr_tok", "st", "saint", 10), ("A", "addr_tok", "rd", "road", 19), ("A", "addr_tok", "ave", "avenue", 20), ("A", "addr_tok", "ave", "av", 14), ("A", "name_tok", "x", "y", 3), ("A", "name_tok", "y", "z", 5), ("A", "addr_comp", "ny", "new york", 30), ("B", "addr_tok", "bd", "bl", 20), ("B", "addr_tok", "bd", "bk", 20), ("B", "addr_tok", "zz", "street", 50)]
     kept = select(spark.createDataFrame(maps, "country string, kind string, variant string, canonical string, n long"))
