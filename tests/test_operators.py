@@ -3,15 +3,18 @@
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from kinfold.functions.normalize import dealt, fold_text, normalize
 from kinfold.functions.similarity import jaro_winkler, lcs, partial_ratio, partial_token_set_ratio, ratio, token_set_ratio, token_sort_ratio
+from kinfold.operators import retrieval
 from kinfold.operators.mining import resolve_chains, select
 from kinfold.operators.models import fit_stacker, load_models, predict_stacker, save_models
 from kinfold.operators.selection import exact_sizes, expected_f05, expected_sizes, label_shift, one_to_one
 from kinfold.operators.windows import ranks
+from kinfold.plans.registry import text_search
 from kinfold.sources.records import read_tsv, result_lists, truth_pairs
 
 
@@ -106,6 +109,30 @@ def test_normal_forms_plan(spark):
     assert dealt(docs.coalesce(1)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
+def test_text_search(spark):
+    """Each side's asked rows against every row of the other, as by brute force, over several blocks; no vector is shuffled."""
+    texts = [(f"S{1 + k % 3}-{k}", "AB"[k % 7 == 0], f"{'acme north zone'[k % 5:]} {k % 11} {chr(97 + k % 23)} road") for k in range(1500)]
+    df = spark.createDataFrame(texts, "id string, country string, text string")
+    retrieval.BLOCK, block = 100, retrieval.BLOCK
+    try:
+        found = text_search(df)
+        got = sorted(tuple(r) for r in found.select("s1", "rec", "cos", "rf", "rr").collect())
+    finally:
+        retrieval.BLOCK = block
+    assert "array<float>" not in found._jdf.queryExecution().analyzed().toString()
+    x = retrieval.NgramEncoder(128).fit(df).encode(pd.Series([t for _, _, t in texts])).astype(float)
+    want = {}
+    for own, k, place in ((True, 5, 3), (False, 2, 4)):
+        for i, (name, country, _) in enumerate(texts):
+            if name.startswith("S1-") == own and i % 20 == 0:
+                keys = [(-round(float(x[i] @ x[j]), 6), texts[j][0]) for j in range(len(texts)) if texts[j][1] == country and texts[j][0].startswith("S1-") != own]
+                for rank, (cos, other) in enumerate(sorted(keys)[:k]):
+                    pair = (name, other) if own else (other, name)
+                    want.setdefault(pair, [*pair, -cos, 255, 255])[place] = rank
+    assert [(r[0], r[1], r[3], r[4]) for r in got] == sorted((a, b, f, r) for a, b, _, f, r in want.values())
+    assert all(abs(r[2] - want[r[:2]][2]) < 2e-6 for r in got)
+
+
 def test_dictionaries_select_and_chain(spark):
     maps = [("A", "addr_tok", "st", "street", 40), ("A", "addr_tok", "st", "saint", 10), ("A", "addr_tok", "rd", "road", 19), ("A", "addr_tok", "ave", "avenue", 20), ("A", "addr_tok", "ave", "av", 14), ("A", "name_tok", "x", "y", 3), ("A", "name_tok", "y", "z", 5), ("A", "addr_comp", "ny", "new york", 30), ("B", "addr_tok", "bd", "bl", 20), ("B", "addr_tok", "bd", "bk", 20), ("B", "addr_tok", "zz", "street", 50)]
     kept = select(spark.createDataFrame(maps, "country string, kind string, variant string, canonical string, n long"))
