@@ -16,8 +16,7 @@ matrix of its own. Training contrasts a token's class with noise classes shared
 the word with noise words of its class, both drawn from their shares. Documents are dealt into
 chunks of about CHUNK_CHARS characters by hash of id and text, and a chunk is always trained in
 the order of those hashes, so the model depends on the documents alone, not on how the table is
-split. Of a document every STRIDE-th position is a target, and all are contexts; that halves the
-work for a gain that is nearly the same. All chunks start from a model of a bounded sample (WARM_ROWS documents of least hash, until
+split. Every position of a document is a target once. All chunks start from a model of a bounded sample (WARM_ROWS documents of least hash, until
 WARM_CHARS characters are read); each trains a copy, and the copies are averaged on the cluster.
 
 To score, a chunk meets the counts of its own distinct rare tokens, never the whole table.
@@ -43,8 +42,6 @@ from kinfold.llm.wordvec import U64, chunks, utf8, words
 
 LEAST_WORDS, MOST_WORDS, KINDS, DIM, CONTEXT = 256, 65_536, 64, 8, 3
 BATCH, NOISE, WORD_NOISE, RATES = 8192, 32, 1, (0.1, 0.05)
-#: Every document is trained on, at each STRIDE-th of its positions as target, with all of them as contexts.
-STRIDE = 2
 WARM_ROWS, WARM_CHARS, CHUNK_CHARS = 8192, 8_000_000, 8_000_000
 SMOOTH = 0.1
 #: Weight of the neural model against the outputs' shares.
@@ -319,7 +316,7 @@ def _trained(rows: DataFrame, warm: Model, scratch: Scratch) -> tuple[DataFrame,
     def learn(batches):
         warm = shared.value
         outputs, sums, weight = warm.outputs, None, 0
-        now, model, rng, seen, turn, held = None, None, None, 0, 0, []
+        now, model, rng, seen, held = None, None, None, 0, []
 
         def listed():
             rare = np.unique(np.concatenate(held)) if held else np.zeros(0, U64)
@@ -337,7 +334,7 @@ def _trained(rows: DataFrame, warm: Model, scratch: Scratch) -> tuple[DataFrame,
                         yield listed()
                         if seen:
                             sums, weight = (0 if sums is None else sums) + model.flat().astype(np.float64) * seen, weight + seen
-                    now, seen, turn, held = int(of_row[a]), 0, 0, []
+                    now, seen, held = int(of_row[a]), 0, []
                     model, rng = Model(outputs).load(warm.flat()), np.random.Generator(np.random.PCG64(now))
                 for lo, hi, h, at in tokens(batch.column(2).slice(a, b - a)):
                     y = outputs.of(h)
@@ -346,9 +343,8 @@ def _trained(rows: DataFrame, warm: Model, scratch: Scratch) -> tuple[DataFrame,
                     if train.any():
                         keep, size = np.repeat(train, np.diff(at)), np.diff(at)[train]
                         start = np.concatenate([[0], np.cumsum(size)])
-                        contexts, y = _contexts(y[keep], start, outputs.size), y[keep]
-                        model.train(contexts[turn::STRIDE], y[turn::STRIDE], rng, RATES[1])
-                        turn = (turn + 1) % STRIDE
+                        y = y[keep]
+                        model.train(_contexts(y, start, outputs.size), y, rng, RATES[1])
                         seen += len(y)
         if now is not None:
             yield listed()

@@ -110,3 +110,16 @@ def test_without_training_documents_and_long_texts(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None), (2, None), (None, "w " * 300_000)], "doc_id long, text string")
     got = lblm.score(docs, F.lit(False)).collect()
     assert sorted(r.n_tokens for r in got) == [1, 1, 3, 300_001] and all(r.n_known == 0 and r.train_tokens == 0 and r.score < 0 and math.isfinite(r.score) for r in got)
+
+
+def test_every_position_is_a_target(spark):
+    """The model of a chunk is that of one pass over all positions of its text."""
+    text = " ".join(f"w{(k * k) % 7} v{k % 5}" for k in range(300))
+    (_, _, h, at), *_ = lblm.tokens(pa.array([text]))
+    kinds, count = np.unique(h, return_counts=True)
+    outputs = lblm.Outputs(kinds, count, np.full(lblm.KINDS, 0.1), len(h), len(kinds))
+    rows = spark.createDataFrame([(0, True, text, 1, 1)], "chunk int, train boolean, text string, place long, doc_id long")
+    _, got = lblm._trained(rows, lblm.Model(outputs), lblm.Scratch(spark, "test"))
+    want, y = lblm.Model(outputs), outputs.of(h)
+    want.train(lblm._contexts(y, at, outputs.size), y, np.random.Generator(np.random.PCG64(0)), lblm.RATES[1])
+    assert np.allclose(got.flat(), want.flat(), atol=1e-5)
