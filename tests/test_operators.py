@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from kinfold.functions.normalize import dealt, fold_text, normalize
 from kinfold.functions.similarity import jaro_winkler, lcs, partial_ratio, partial_token_set_ratio, ratio, token_set_ratio, token_sort_ratio
 from kinfold.operators import retrieval
+from kinfold.operators.features import pair_features
 from kinfold.operators.mining import resolve_chains, select
 from kinfold.operators.models import fit_stacker, load_models, predict_stacker, save_models
 from kinfold.operators.selection import exact_sizes, expected_f05, expected_sizes, label_shift, one_to_one
 from kinfold.operators.windows import ranks
+from kinfold.plans import matching
 from kinfold.plans.registry import text_search
 from kinfold.sources.records import read_tsv, result_lists, truth_pairs
 
@@ -109,6 +111,17 @@ def test_normal_forms_plan(spark):
     assert dealt(docs.coalesce(1)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
+def test_pair_inputs(spark):
+    """Of the pair features the models' alone are computed, with the values that all together have."""
+    rows = [("S1-1", 1, "Acme North Ltd", "12 Main St, Paris", "A"), ("S1-2", 1, "Zone Co", "7 High rd", "A"), ("S2-1", 2, "ACME North", "012 Main street", "A"), ("S2-2", 2, "Zon Company", "", "A")]
+    norm = normalize(spark.createDataFrame(rows, "entity_id string, src int, name string, addr string, country string"))
+    pairs = spark.createDataFrame([("S1-1", "S2-1"), ("S1-2", "S2-1"), ("S1-2", "S2-2")], "s1 string, rec string")
+    few, all_ = matching.pair_inputs(pairs, norm), pair_features(pairs, norm)
+    kernels = [df._jdf.queryExecution().optimizedPlan().toString().count("scored(") for df in (few, all_)]
+    assert 0 < kernels[0] < kernels[1] - 8, kernels
+    assert sorted(map(tuple, few.collect()), key=str) == sorted(map(tuple, all_.select(*few.columns).collect()), key=str)
+
+
 def test_text_search(spark):
     """Each side's asked rows against every row of the other, as by brute force, over several blocks; no vector is shuffled."""
     texts = [(f"S{1 + k % 3}-{k}", "AB"[k % 7 == 0], f"{'acme north zone'[k % 5:]} {k % 11} {chr(97 + k % 23)} road") for k in range(1500)]
