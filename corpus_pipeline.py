@@ -7,6 +7,8 @@ that a caller has added included; the last adds words, weight and copies.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from kinfold.llm.decontaminate import without_leaks
@@ -44,7 +46,18 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix(docs)
 
 
-STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("pii", pii), ("mixing", mixing)]
+def lean(stage):
+    """The stage, begun after the driver has given back what the ones before left there."""
+
+    @functools.wraps(stage)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        Scratch(spark, "pipeline").release()
+        return stage(spark, docs, sf_dir)
+
+    return begun
+
+
+STAGES = [(stage.__name__, lean(stage)) for stage in (toxicity, near_dedup, decontamination, pii, mixing)]
 #: SQL can express neither the classifier nor the MinHash tables; tests/llm checks the stages instead.
 ORACLE_SQL = None
 

@@ -35,17 +35,17 @@ def _kept(mask: str) -> list[int]:
     return [k for k, c in enumerate(mask) if c == "1"]
 
 
-def _passing(h: Column, mask: str, passes) -> Column:
-    """Positions whose kept tokens all pass."""
+def _passing(h: Column, mask: str, known: Column | None) -> Column:
+    """Positions whose kept tokens are all known; without `known`, every position."""
     at = F.sequence(F.lit(0), F.size(h) - SPAN)
 
     def every(i):
         test = F.lit(True)
         for k in _kept(mask):
-            test = test & passes(F.get(h, i + k))
+            test = test & F.get(known, i + k)
         return test
 
-    return F.filter(at, every) if passes else at
+    return at if known is None else F.filter(at, every)
 
 
 def _seed_at(h: Column, n: int, mask: str, near: int):
@@ -57,9 +57,9 @@ def _seed_at(h: Column, n: int, mask: str, near: int):
     return seed
 
 
-def _seeds(h: Column, near: int, passes=None) -> Column:
+def _seeds(h: Column, near: int, known: Column | None = None) -> Column:
     """An array of the seeds of every mask and position, each with the token hashes around it."""
-    made = [F.transform(_passing(h, mask, passes), _seed_at(h, n, mask, near)) for n, mask in enumerate(MASKS)]
+    made = [F.transform(_passing(h, mask, known), _seed_at(h, n, mask, near)) for n, mask in enumerate(MASKS)]
     return F.when(F.size(h) >= SPAN, F.concat(*made))
 
 
@@ -80,11 +80,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 20, percent: int
     words = dict(tuple(r) for r in tokens.groupBy("word").agg(F.bit_or("bit")).collect())
     bitmap = F.lit(",".join(str(words.get(k, 0)) for k in range(BITMAP_WORDS)))
     bitmap = F.split(bitmap, ",").cast("array<bigint>")
-    passes = lambda t: F.getbit(F.get(bitmap, F.shiftright(t, 6).bitwiseAND(F.lit(BITMAP_WORDS - 1)).cast("int")), t.bitwiseAND(F.lit(63)).cast("int")) == 1
+    known = lambda t: F.getbit(F.get(bitmap, F.shiftright(t, 6).bitwiseAND(F.lit(BITMAP_WORDS - 1)).cast("int")), t.bitwiseAND(F.lit(63)).cast("int")) == 1
     if spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1" and seeds.count() <= most_broadcast:
         seeds = F.broadcast(seeds)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), token_hashes(F.col("text").cast("string")).alias("h"))
-    found = text.where(F.size("h") >= SPAN).select("doc_id", F.inline(_seeds(F.col("h"), window, passes)))
+    # the bitmap stands in the plan once: each copy of it would be in all of the driver's descriptions of the plan
+    text = text.where(F.size("h") >= SPAN).withColumn("known", F.transform("h", known))
+    found = text.select("doc_id", F.inline(_seeds(F.col("h"), window, F.col("known"))))
     hits = found.join(seeds, "seed").select("doc_id", "item_id", "need", _agreement().alias("same"))
     hits = hits.withColumn("total", F.aggregate("same", F.lit(0), lambda a, x: a + x))
     dense = F.exists(F.sequence(F.lit(0), F.size("same") - F.col("need")), lambda s: F.aggregate(F.slice("same", s + 1, F.col("need")), F.lit(0), lambda a, x: a + x) * 100 >= F.col("need") * percent)

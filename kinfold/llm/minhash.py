@@ -221,6 +221,7 @@ def near_duplicates(docs: DataFrame, words_each: int = 5, num: int = 80, den: in
         links = scratch.save(links.union(_verified(apart, words_each, num, den)))
         labels = components(links, scratch)
     scratch.drop(inside)
+    scratch.release()
     rep = classes.select("digest", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = sig.join(rep, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))

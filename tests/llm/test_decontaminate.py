@@ -45,3 +45,10 @@ def test_empty_tables(spark):
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert leaks(d, b.limit(0)).count() == 0 and leaks(d.limit(0), b).count() == 0
     assert without_leaks(d, b.limit(0)).count() == len(docs)
+
+
+def test_bitmap_stands_once_in_the_plan(spark):
+    """The driver describes a plan many times over, so the benchmark's bitmap may not be copied within it."""
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(30)))], "item_id long, text string")
+    assert leaks(docs, items)._jdf.queryExecution().optimizedPlan().toString().count("getbit(") == 1

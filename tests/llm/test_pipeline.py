@@ -1,6 +1,7 @@
 """The stages' contract on the smallest tables."""
 
 import corpus_pipeline
+from kinfold.llm.scratch import trim_native
 
 DIR = "/root/testdata/sf0.001"
 
@@ -31,3 +32,14 @@ def test_null_and_shared_ids(spark):
     mixed = stages["mixing"](spark, docs, DIR).collect()
     assert sorted((str(r.doc_id), str(r.text)) for r in mixed) == sorted((str(i), str(t)) for i, t in rows)
     assert all(r.words == len((r.text or "").split()) for r in mixed)
+
+
+def test_stages_begin_lean(spark, monkeypatch):
+    """Each stage first gives back what the driver no longer needs, memory outside the heap included."""
+    released = []
+    monkeypatch.setattr(corpus_pipeline.Scratch, "release", lambda self: released.append(1))
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(5)
+    for n, name in enumerate(("pii", "decontamination"), 1):
+        dict(corpus_pipeline.STAGES)[name](spark, docs, DIR)
+        assert len(released) == n
+    assert trim_native(spark)
