@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinfold.functions.normalize import dealt, fold_text, normalize
-from kinfold.functions.similarity import jaro_winkler, lcs, partial_ratio, partial_token_set_ratio, ratio, token_set_ratio, token_sort_ratio
+from kinfold.functions.similarity import KERNELS, MANY, jaro_winkler, lcs, partial_ratio, partial_token_set_ratio, ratio, token_set_ratio, token_sort_ratio
 from kinfold.operators import retrieval
 from kinfold.operators.features import pair_features
+from kinfold.operators.group import group_features
 from kinfold.operators.mining import resolve_chains, select
 from kinfold.operators.models import fit_stacker, load_models, predict_stacker, save_models
 from kinfold.operators.selection import exact_sizes, expected_f05, expected_sizes, label_shift, one_to_one
@@ -62,6 +63,17 @@ def test_kernels():
     assert partial_token_set_ratio("x a", "a y") == 100 and jaro_winkler("martha", "marhta") == pytest.approx(0.9611, abs=1e-4)
 
 
+def test_kernels_of_batches():
+    """To the last place those of a pair: empty, long, and texts that repeat, overlap or fill a machine word."""
+    rng = np.random.default_rng(4)
+    text = lambda: " ".join("".join(rng.choice(list("abcdeé"), rng.integers(1, 7))) for _ in range(rng.choice([0, 1, 3, 7, 25])))
+    a = [text() for _ in range(3000)] + ["a" * 64, "a" * 65, "ab" * 32, " ", "abcd"]
+    b = [text() if rng.random() < 0.6 else t[1:] for t in a[:3000]] + ["a" * 64, "a" * 66, "ba" * 32, "", "abcdefgh" * 8]
+    for name, many in MANY.items():
+        assert many(a, b).tolist() == [KERNELS[name](x, y) for x, y in zip(a, b, strict=True)], name
+        assert len(many([], [])) == 0
+
+
 def test_normal_forms(spark):
     rows = [("1", "Sri X.Y. Café Pvt Ltd", "null, 012 Main st, Paris, 9876543210"), ("2", "Old Co dba New & Sons Inc", ""), ("3", "राम | www.ram-shop.com", "5th r, n/a")]
     got = {r.id: r for r in normalize(spark.createDataFrame(rows, "id string, name string, addr string")).collect()}
@@ -146,6 +158,38 @@ def test_text_search(spark):
     assert all(abs(r[2] - want[r[:2]][2]) < 2e-6 for r in got)
 
 
+def test_mutual_neighbours(spark):
+    """Both ways of every row in one meeting of blocks, as `knn` has them; equal, empty and short texts are among them."""
+    texts = [(f"S{1 + k % 3}-{k}", "AB"[k % 7 == 0], "" if k % 50 == 9 else f"{'acme north zone'[k % 5:]} {k % 11} {chr(97 + k % 23)} {k * 37 % 1999 * (k % 4 > 0)} road") for k in range(2400)]
+    df = spark.createDataFrame([*texts, ("S1-x", "C", "alone"), ("S2-y", "C", "alone too"), ("S1-z", "D", "none")], "id string, country string, v string")
+    encode = retrieval.NgramEncoder().fit(df.withColumnRenamed("v", "text")).encode
+    own = F.startswith("id", F.lit("S1-"))
+    sides = df.where(own), df.where(~own)
+    retrieval.MUTUAL, block = 300, retrieval.MUTUAL
+    try:
+        got = retrieval.mutual(*sides, 5, 2, encode).collect()
+    finally:
+        retrieval.MUTUAL = block
+    want = {(r.s1, r.rec): r for r in retrieval.knn(*sides, 5, 2, encode).collect()}
+    assert {(r.s1, r.rec): (r.rf, r.rr) for r in got} == {k: (r.rf, r.rr) for k, r in want.items()}
+    assert len(got) == len(want) and all(abs(r.cos - want[r.s1, r.rec].cos) < 2e-6 for r in got)
+
+
+def test_match_reads_and_joins_no_vectors(spark):
+    """A group's cosines come from texts and are those of vectors; a record's tokens, not a pair's, are joined with their idf."""
+    rows = [("S1-1", 1, "Acme North Ltd", "12 Main St, Paris", "A"), ("S2-1", 2, "ACME North", "012 Main street", "A"), ("S2-2", 2, "Acme Nord", "", "A"), ("S3-3", 3, "Acme", "12 Main St", "A")]
+    norm = normalize(spark.createDataFrame(rows, "entity_id string, src int, name string, addr string, country string"))
+    pred = spark.createDataFrame([("S1-1", "S2-1", 0.9), ("S1-1", "S2-2", 0.8), ("S1-1", "S3-3", 0.7)], "s1 string, rec string, p double")
+    texts = retrieval.view_text(norm)
+    encoder = retrieval.NgramEncoder().fit(texts)
+    found = group_features(pred, norm, encode=encoder.encode)
+    assert "array<float>" not in found._jdf.queryExecution().analyzed().toString()
+    got, want = (sorted(map(tuple, df.collect())) for df in (found, group_features(pred, norm, encoder.transform(texts))))
+    assert [r[:2] for r in got] == [r[:2] for r in want] and all(x == pytest.approx(y, abs=1e-6) for g, w in zip(got, want, strict=True) for x, y in zip(g[2:], w[2:], strict=True))
+    plan = matching.pair_inputs(pred.select("s1", "rec"), norm)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate [s1" in line]
+
+
 def test_dictionaries_select_and_chain(spark):
     maps = [("A", "addr_tok", "st", "street", 40), ("A", "addr_tok", "st", "saint", 10), ("A", "addr_tok", "rd", "road", 19), ("A", "addr_tok", "ave", "avenue", 20), ("A", "addr_tok", "ave", "av", 14), ("A", "name_tok", "x", "y", 3), ("A", "name_tok", "y", "z", 5), ("A", "addr_comp", "ny", "new york", 30), ("B", "addr_tok", "bd", "bl", 20), ("B", "addr_tok", "bd", "bk", 20), ("B", "addr_tok", "zz", "street", 50)]
     kept = select(spark.createDataFrame(maps, "country string, kind string, variant string, canonical string, n long"))
